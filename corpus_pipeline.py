@@ -1,10 +1,61 @@
-"""Corpus pipeline: documents through filtering, deduplication, sanitising, mixing and packing."""
+"""Corpus pipeline: quality filter, near-duplicates, personal data, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept;
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import mixing, packing, pii, quality, simhash
+from ledgerlens.llm.common import Scratch, read
+from ledgerlens.llm.queries import vocabulary_path
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Bradley-Terry ranker passes; it learns from the labels of these documents."""
+    return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group of linked SimHash fingerprints."""
+    return simhash.simhash_dedup(docs, shingle=4, radius=4)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without protected entities and the terms that disclose them; n_chars follows."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target share asks for, in a global shuffle."""
+    return mixing.poisson_mix(docs, seed=1, epochs=1.0, temper=0.5).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their places in windows of 4096."""
+    return packing.pack_documents(docs, vocabulary_path(), capacity=4096, closing_id=2)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("simhash", drop_near_copies),
+    ("pii", remove_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: SQL can't express the ranker's training, fingerprints' components or windows' programmes.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's result is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
