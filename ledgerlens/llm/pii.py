@@ -63,6 +63,14 @@ def _entity(kind: str, x: Column) -> Column:
     return F.concat(F.lit(f"{kind} "), value)
 
 
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda s: _entity(kind, s["value"]))
+
+
+def _labelled(kind: str) -> Column:
+    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("label")))
+
+
 def _located(text: Column, pattern: str, ok) -> Column:
     """array<struct<start,end,value>> of the matches that are ok; code points, end exclusive.
 
@@ -133,7 +141,7 @@ def detect(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, generalise: float) -> DataFrame:
     """(entity, term, disclosure): PMI / IC of the terms that reach ``generalise``."""
     by_text = found.groupBy("text_key").agg(F.first("near").alias("near"), *(F.first(k).alias(k) for k in KINDS))
-    mention = by_text.select("text_key", F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(k, lambda s, kind=k: _entity(kind, s["value"])) for k in KINDS])))).alias("entity"))
+    mention = by_text.select("text_key", F.explode(F.array_distinct(F.flatten(F.array(*[_entities(k) for k in KINDS])))).alias("entity"))
     entities = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).filter(F.col("de") >= support)
     beside = by_text.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("text_key", "x.*")
     joint = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("j")).filter(F.col("j") >= support)
@@ -170,8 +178,11 @@ def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove
 
 def span_text(parts: dict[str, Column]) -> Column:
     """kind:start:end of every span, kinds in the given order, comma-joined."""
-    said = [F.transform(c, lambda s, kind=k: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string"))) for k, c in parts.items()]
-    return F.array_join(F.concat(*said), ",")
+
+    def said(kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*[said(k, c) for k, c in parts.items()]), ",")
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -181,7 +192,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """
     scratch = options.pop("scratch", None) or Scratch(docs.sparkSession, "pii")
     found = find_pii(docs.select("doc_id", "text"), scratch=scratch, **options)
-    all_spans = F.array_sort(F.concat(*[F.transform(k, lambda s, kind=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("label"))) for k in KINDS], F.col("terms")))
+    all_spans = F.array_sort(F.concat(*[_labelled(k) for k in KINDS], F.col("terms")))
     hit = found.select("text_key", all_spans.alias("_spans")).filter(F.size("_spans") > 0)
     hit = scratch.save(hit.groupBy(F.col("text_key").alias("_key")).agg(F.first("_spans").alias("_spans")), "hits")
     names = docs.columns
