@@ -12,6 +12,7 @@ A remainder finds its window by its rank among those of its length.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, with_rank
 
 #: Words of the most distinct texts that a worker keeps ids for; beyond it, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
 _SHIFT = 48
 
 
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordCachedTokenizer:
     """Ids of texts as little-endian uint32 bytes, each distinct word tokenized once.
 
@@ -58,9 +63,9 @@ class WordCachedTokenizer:
                 new.update(w)
         new = list(new - self.ids.keys())
         for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+            self.ids[w] = _raw(e.ids)
         get = self.ids.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, words)]
+        return [b"".join(map(get, w)) if w is not None else _raw(self.whole.encode(t, add_special_tokens=False).ids) for t, w in zip(texts, words)]
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
