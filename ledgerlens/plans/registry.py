@@ -20,9 +20,15 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from . import cluster_queries, log_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
