@@ -12,6 +12,7 @@ from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 # Markers with a fixed body.
@@ -179,11 +180,11 @@ def to_json(data: bytes | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def msgpack_to_json(data: pd.Series) -> pd.Series:
     return data.map(to_json)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def json_to_msgpack(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else pack(json.loads(x)))

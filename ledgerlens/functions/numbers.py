@@ -6,6 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_SAFE = (1 << 53) - 1
 
@@ -49,21 +50,21 @@ def bytes_to_number(raw: bytes | None) -> float | None:
     return struct.unpack("<d", raw)[0] if len(raw) == 8 else float(bytes_to_int(raw))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def int_value(raw: pd.Series) -> pd.Series:
     return raw.map(bytes_to_int).astype("Int64")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def int_bytes(v: pd.Series) -> pd.Series:
     return v.map(lambda x: int_to_bytes(None if pd.isna(x) else int(x)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def number_value(raw: pd.Series) -> pd.Series:
     return raw.map(bytes_to_number).astype("float64")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def number_bytes(v: pd.Series) -> pd.Series:
     return v.map(lambda x: number_to_bytes(None if pd.isna(x) else x))

@@ -119,13 +119,11 @@ def history_to_remove(spark_files: DataFrame, keep: int = 60) -> DataFrame:
 def read_config(path: str, namespace: str | None = None) -> dict:
     """json or toml; a namespace is a dotted path, keys of which may hold dots themselves."""
     ext = os.path.splitext(path)[1].lower()
+    load = {".json": json.load, ".toml": tomllib.load}.get(ext)
+    if load is None:
+        raise ValueError(f"configuration files end in .json or .toml: {path}")
     with open(path, "rb") as f:
-        if ext == ".json":
-            out = json.load(f)
-        elif ext == ".toml":
-            out = tomllib.load(f)
-        else:
-            raise ValueError(f"configuration files end in .json or .toml: {path}")
+        out = load(f)
     rest = namespace or ""
     while rest:
         if not isinstance(out, dict):
