@@ -1,7 +1,8 @@
 """SpotSigs fingerprints with DataFrame functions alone.
 
-A spot signature is an anchor (a very common word) with the ``CHAIN`` next content words,
-other anchors skipped. A text's fingerprint is the set of its signatures' 32-bit hashes; a
+A spot signature is an anchor (a very common word) that a content word follows, with the
+``CHAIN`` content words from there on, anchors between them skipped; of a run of anchors the
+last one counts, so the signatures of a text take space in proportion to it. A text's fingerprint is the set of its signatures' 32-bit hashes; a
 text without any has the hash of its words as its only one, so that equal texts always have
 equal fingerprints. Two fingerprints are compared by Jaccard; a pair whose set lengths alone
 rule the threshold out is never looked at.
@@ -42,10 +43,9 @@ def signatures(text: Column) -> Column:
     """Sorted distinct signature hashes (array<int>) of a text that is not null."""
     a = _anchors()
     words = plain_words(text)
-    skip = f"(?:{a} )*+"
-    chain = "(?<= )(?=(" + a + " " + " ".join(f"{skip}[^ ]++" for _ in range(CHAIN)) + ") )"
+    chain = f"(?<= )(?=({a} (?!{a} )[^ ]++" + f" (?:{a} )*+[^ ]++" * (CHAIN - 1) + ") )"
     found = F.regexp_extract_all(words, F.lit(chain), F.lit(1))
-    hashed = F.transform(found, lambda x: F.hash(F.regexp_replace(x, f"(?<= )(?:{a} )+", "")))
+    hashed = F.transform(found, lambda x: F.hash(F.regexp_replace(x, f"(?<= )(?:{a} )++", "")))
     return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(hashed))).otherwise(F.array(F.hash(words)))
 
 
