@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Pairs that a task buffers, and words whose hashes a worker keeps.
-BUFFER = 2_000_000
-CACHE_WORDS = 400_000
+BUFFER = 1_000_000
+CACHE_WORDS = 150_000
 START, END = 1, 2
 _U = np.uint64
 
@@ -71,10 +71,12 @@ def _pack_counts(c: np.ndarray) -> bytes:
     return small.tobytes() + c[c >= 255].astype("<u8").tobytes()
 
 
-def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
-    return out
+def _unpack_counts(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """n counts packed from ``at`` on, and where they end."""
+    out = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    out[big] = np.frombuffer(raw, "<u8", len(big), at + n)
+    return out, at + n + 8 * len(big)
 
 
 def merged(keys: np.ndarray, *sums: np.ndarray):
@@ -161,38 +163,40 @@ def _merge_pairs(batches, folder: str, bits: int):
             n = int(np.frombuffer(raw, "<u4", 1)[0])
             us.append(_unpack48(raw[4 : 4 + 6 * n]))
             vs.append(_unpack48(raw[4 + 6 * n : 4 + 12 * n]))
-            cs.append(_unpack_counts(raw[4 + 12 * n :], n))
+            cs.append(_unpack_counts(raw, n, 4 + 12 * n)[0])
         u, v, c = np.concatenate(us), np.concatenate(vs), np.concatenate(cs)
         keys, first, (c,) = merged(pair_hash(u, v), c)
         u, v = u[first], v[first]
-        if len(c) and c.max() >= 1 << 32:
-            raise OverflowError("a pair's count does not fit the model's 32 bits")
-        _write(f"{folder}/pairs-{part}", keys, c.astype("<u4"))
+        big = np.flatnonzero(c >= 255)
+        _write(f"{folder}/pairs-{part}", np.array([len(c), len(big)], "<u8"), keys, big.astype("<u8"), c[big].astype("<u8"), np.minimum(c, 255).astype(np.uint8))
         one = np.ones(len(c), np.int64)
         w1, _, (total, n1, n2, n3) = merged(u, c, (c == 1) * one, (c == 2) * one, (c >= 3) * one)
         w2, _, (before, count) = merged(v, one, c)
         words = np.union1d(w1, w2)
-        table = np.zeros((6, len(words)), "<u8")
+        table = np.zeros((6, len(words)), np.int64)
         table[:4, np.searchsorted(words, w1)] = [total, n1, n2, n3]
         table[4:, np.searchsorted(words, w2)] = [before, count]
         parts, out = [], []
         for p, a, b in _ranges(words, bits, 48):
             parts.append(p)
-            out.append(np.array([b - a], "<u4").tobytes() + _pack48(words[a:b]) + np.ascontiguousarray(table[:, a:b]).tobytes())
+            out.append(np.array([b - a], "<u4").tobytes() + _pack48(words[a:b]) + b"".join(map(_pack_counts, table[:, a:b])))
         stats = _counts_of_counts(c)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *parts], pa.int32()), pa.array([np.array(stats, "<i8").tobytes(), *out], pa.binary())], ["part", "block"])
 
 
-def _merge_words(batches, folder: str):
+def _merge_words(batches, folder: str, pair_d: np.ndarray):
     for part, blocks in _by_part(batches):
         ws, ts = [], []
         for raw in blocks:
             n = int(np.frombuffer(raw, "<u4", 1)[0])
             ws.append(_unpack48(raw[4 : 4 + 6 * n]))
-            ts.append(np.frombuffer(raw[4 + 6 * n :], "<u8").reshape(6, n).astype(np.int64))
-        words, _, sums = merged(np.concatenate(ws), *np.concatenate(ts, axis=1))
-        _write(f"{folder}/words-{part}", words, *(s.astype("<i8") for s in sums))
-        before, count = sums[4], sums[5]
+            at, table = 4 + 6 * n, np.empty((6, n), np.int64)
+            for row in table:
+                row[:], at = _unpack_counts(raw, n, at)
+            ts.append(table)
+        words, _, (total, n1, n2, n3, before, count) = merged(np.concatenate(ws), *np.concatenate(ts, axis=1))
+        rest = np.where(total > 0, (pair_d[1] * n1 + pair_d[2] * n2 + pair_d[3] * n3) / np.maximum(total, 1), 1.0)
+        _write(f"{folder}/words-{part}", np.array([len(words), 0], "<u8"), words, total.astype("<f8"), rest.astype("<f8"), before.astype("<f8"), count.astype("<f8"))
         stats = _counts_of_counts(before[before > 0]) + [int((count > 0).sum()), int(count.sum())]
         yield pa.RecordBatch.from_arrays([pa.array(np.array([stats]).tolist(), pa.list_(pa.int64()))], ["stats"])
 
@@ -215,17 +219,26 @@ class Model:
     vocabulary: int
     tokens: int
 
-    def lookup(self, kind: str, width: int, keys: np.ndarray, values: int, dtype: str) -> np.ndarray:
-        """values x len(keys) of sorted distinct keys; 0 where a key is not there."""
-        out = np.zeros((values, len(keys)), np.int64)
-        for p, a, b in _ranges(keys, self.bits, width):
-            have, vals = _mapped(f"{self.folder}/{kind}-{p}", values, dtype)
-            if not len(have):
-                continue
-            at = np.searchsorted(have, keys[a:b])
-            at[at == len(have)] = 0
-            hit = have[at] == keys[a:b]
-            out[:, a:b][:, hit] = vals[:, at[hit]]
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        """Count as a context, mass left there, predecessors and count of sorted distinct words."""
+        out = np.zeros((4, len(keys)))
+        out[1] = 1.0
+        for p, a, b in _ranges(keys, self.bits, 48):
+            have, vals = _mapped_words(f"{self.folder}/words-{p}")
+            at, hit = _found(have, keys[a:b])
+            out[:, a:b][:, hit] = vals[:, at]
+        return out
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct pair hashes."""
+        out = np.zeros(len(keys), np.int64)
+        for p, a, b in _ranges(keys, self.bits, 64):
+            have, big, big_count, small = _mapped_pairs(f"{self.folder}/pairs-{p}")
+            at, hit = _found(have, keys[a:b])
+            c = small[at].astype(np.int64)
+            many = np.flatnonzero(c == 255)
+            c[many] = big_count[np.searchsorted(big, at[many].astype(np.uint64))]
+            out[a:b][hit] = c
         return out
 
     def score(self, docs: list[list[int]]) -> tuple[np.ndarray, ...]:
@@ -238,34 +251,53 @@ class Model:
         u[starts] = START
         words, word_at = np.unique(np.concatenate([u, v]), return_inverse=True)
         ui, vi = word_at[: len(u)], word_at[len(u) :]
-        total, n1, n2, n3, before, count = self.lookup("words", 48, words, 6, "<i8")
+        total, rest, before, count = self.words(words)
         pairs, pair_at = np.unique(pair_hash(u, v), return_inverse=True)
-        c = self.lookup("pairs", 64, pairs, 1, "<u4")[0][pair_at]
+        c = self.pairs(pairs)[pair_at]
         uniform = 1 / (self.vocabulary + 1)
-        p1 = np.maximum(before - self.word_d[np.minimum(before, 3)], 0) / max(1, self.predecessors) + self.word_rest * uniform
-        rest = np.where(total > 0, (self.pair_d[1] * n1 + self.pair_d[2] * n2 + self.pair_d[3] * n3) / np.maximum(total, 1), 1.0)
+        p1 = np.maximum(before - self.word_d[np.minimum(before, 3).astype(np.int64)], 0) / max(1, self.predecessors) + self.word_rest * uniform
         p = np.maximum(c - self.pair_d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[ui] + rest[ui] * p1[vi]
         base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
         add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no document is empty: each has its end
         return sizes, add((count > 0)[vi].astype(np.int64)), add(base[vi]), add(np.log10(p))
 
 
-_MAPS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_MAPS: dict[str, np.ndarray] = {}
 
 
-def _mapped(path: str, values: int, dtype: str):
-    """(keys, values) of a model file, mapped into memory once for each worker."""
+def _mapped(path: str) -> np.ndarray:
+    """A model file, mapped into memory once for each worker; one that is not there has no entries."""
     if path not in _MAPS:
         if not os.path.exists(path):
-            return np.empty(0, "<u8"), np.empty((values, 0), dtype)
-        raw = np.memmap(path, np.uint8, "r")
-        n = len(raw) // (8 + values * np.dtype(dtype).itemsize)
+            return np.zeros(16, np.uint8)
         if len(_MAPS) > 4096:
             _MAPS.clear()
-        _MAPS[path] = raw[: 8 * n].view("<u8"), raw[8 * n :].view(dtype).reshape(values, n)
+        _MAPS[path] = np.memmap(path, np.uint8, "r")
     return _MAPS[path]
 
 
+def _mapped_words(path: str):
+    raw = _mapped(path)
+    n = int(raw[:8].view("<u8")[0])
+    return raw[16 : 16 + 8 * n].view("<u8"), raw[16 + 8 * n :].view("<f8").reshape(4, n)
+
+
+def _mapped_pairs(path: str):
+    raw = _mapped(path)
+    n, m = map(int, raw[:16].view("<u8"))
+    ends = np.cumsum([16, 8 * n, 8 * m, 8 * m])
+    return *(raw[a:b].view("<u8") for a, b in zip(ends, ends[1:])), raw[ends[-1] :]
+
+
+def _found(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``have`` of those of the sorted keys that are there, and which these are."""
+    if not len(have):
+        return np.empty(0, np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    hit = have[at] == keys
+    return at[hit], hit
+
+
 def local_folder(path: str) -> str:
     """The shared folder as workers map it: it must be mounted under one path on all of them."""
     if path.startswith("file:"):
@@ -286,15 +318,16 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     dealt = counted.repartition(parts, "part").sortWithinPartitions("part")
     pairs = scratch.save(dealt.mapInArrow(lambda bs: _merge_pairs(bs, folder, bits), "part int, block binary"), "words")
     stats = np.sum([np.frombuffer(r.block, "<i8") for r in pairs.filter("part = -1").select("block").collect()], axis=0)  # a row for each range
+    stats = stats if np.ndim(stats) else np.zeros(7, np.int64)
+    pair_d = discounts(*stats[:4].tolist())
     words = pairs.filter("part >= 0").repartition(parts, "part").sortWithinPartitions("part")
-    rows = words.mapInArrow(lambda bs: _merge_words(bs, folder), "stats array<long>").collect()  # a row for each range
+    rows = words.mapInArrow(lambda bs: _merge_words(bs, folder, pair_d), "stats array<long>").collect()  # a row for each range
     ws = np.sum([r.stats for r in rows], axis=0) if rows else np.zeros(9, np.int64)
     scratch.drop(pairs)
-    stats = stats if np.ndim(stats) else np.zeros(7, np.int64)
     word_d = discounts(*ws[:4].tolist())
     found = int(ws[6])
     rest = float(word_d[1] * ws[0] + word_d[2] * ws[1] + word_d[3] * ws[4]) / found if found else 1.0
-    return Model(folder, bits, discounts(*stats[:4].tolist()), word_d, found, rest, int(ws[7]), int(ws[8]))
+    return Model(folder, bits, pair_d, word_d, found, rest, int(ws[7]), int(ws[8]))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -323,7 +356,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 held.append(tokens_of(t, hashes))
                 size += len(held[-1])
-                if size >= BUFFER // 2:
+                if size >= BUFFER:
                     ids.append(b.column(0).slice(done, i + 1 - done))
                     done, size = i + 1, 0
                     yield flush()
