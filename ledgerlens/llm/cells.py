@@ -7,6 +7,7 @@ of its own, so every pair of rows still meets exactly once and no task holds a w
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,6 +81,56 @@ def each_unit(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Ta
     yield from emit()
 
 
+def whole_units(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of whole units, number of each row's unit within them), of sorted batches.
+
+    The unit that a batch breaks off in is carried over: 2 blocks at most.
+    """
+    names = (key, "unit_a", "unit_b")
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            table = pa.Table.from_batches(held) if held else None
+        elif batch.num_rows:
+            table = pa.Table.from_batches([*held, batch])
+        else:
+            continue
+        if table is None:
+            return
+        change = np.zeros(table.num_rows, bool)
+        for c in names:
+            v = table[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        end = table.num_rows if batch is None else int(np.flatnonzero(change)[-1]) if change.any() else 0
+        held = table.slice(end).to_batches()
+        if end:
+            yield table.slice(0, end), np.cumsum(change[:end])
+
+
+def near_pairs(unit: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same unit (numbers in order) that ``near`` accepts, some at a time.
+
+    Rows are compared with those 1, 2, 3 ... places on, as long as any unit reaches so far.
+    """
+    n = len(unit)
+    last = np.searchsorted(unit, unit, "right") - 1
+    out_a, out_b = [], []
+    at, d = np.flatnonzero(last > np.arange(n)), 1
+    while len(at):
+        for k in range(0, len(at), step):
+            i = at[k : k + step]
+            ok = near(i, i + d)
+            out_a.append(i[ok])
+            out_b.append(i[ok] + d)
+        if sum(map(len, out_a)) > 2 * step:  # a forest holds the same links
+            label = forest(n, np.concatenate(out_a), np.concatenate(out_b))
+            moved = np.flatnonzero(label != np.arange(n))
+            out_a, out_b = [moved], [label[moved]]
+        d += 1
+        at = at[at + d <= last[at]]
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Label of each of n nodes: the least index reachable over the edges a-b."""
     label = np.arange(n)
