@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import consensus, feed, membership
+from ledgerlens.operators import consensus, feed, membership, reports
 
 from . import adapters as a
 from .registry import register
@@ -264,3 +264,43 @@ def accepted_messages(s, d):
 def apply_order_errors(s, d):
     b = a.events_log(s, d).filter("log_index <= 500").select(F.col("log_index").alias("seq"), (F.col("log_index") * 2 - 1 + F.when(F.col("k") == 7, 1).otherwise(0)).alias("next_index"), F.lit(2).alias("n"), F.lit(None).cast("bigint").alias("snapshot_index"))
     return feed.next_apply_ok(b).select("seq", "next_index", "expected")
+
+
+@_q("monitor_messages", "select user_id as peer_id, 'event: raft' || chr(10) || 'data: {\"current_term\":' || cast(max(term) as varchar) || ',\"last_index\":' || cast(max(log_index) as varchar) || '}' || chr(10) || chr(10) as message from log group by user_id", _LOG)
+def monitor_messages(s, d):
+    info = a.events_log(s, d).groupBy(F.col("user_id").alias("peer_id")).agg(F.max("term").alias("current_term"), F.max("log_index").alias("last_index"))
+    return reports.monitor_message(info, ["current_term", "last_index"])
+
+
+@_q("cluster_status", "select peer_id, last_index, (select max(last_index) from (select user_id % 50 as peer_id, max(log_index) as last_index from log group by 1) where peer_id % 10 = 0) - last_index as behind from (select user_id % 50 as peer_id, max(log_index) as last_index from log group by 1)", _LOG)
+def cluster_status(s, d):
+    info = a.events_log(s, d).groupBy((F.col("user_id") % 50).alias("peer_id")).agg(F.max("log_index").alias("last_index"))
+    info = info.withColumn("is_leader", F.col("peer_id") % 10 == 0).withColumn("commit_index", F.col("last_index"))
+    return reports.cluster_status(info).select("peer_id", "last_index", "behind")
+
+
+@_q("final_config", "select min(log_index) as log_index from log where entry_type = 1 and log_index > 600", _LOG)
+def final_config(s, d):
+    return reports.final_config(a.events_log(s, d), 600)
+
+
+@_q("snapshot_transfer", """select log_index as peer_id, cast(case when k % 5 = 0 then 0 when k % 3 = 0 then greatest(0, least(k * 30 - 500, 1500)) else least(k * 16 + 100, 1500) end as bigint) as next_position,
+ k % 5 <> 0 and case when k % 3 = 0 then greatest(0, least(k * 30 - 500, 1500)) else least(k * 16 + 100, 1500) end >= 1500 as done from log""", _LOG)
+def snapshot_transfer(s, d):
+    k = F.col("k")
+    steps = a.events_log(s, d).select(F.col("log_index").alias("peer_id"), (k * 16).alias("position"), F.lit(1500).alias("size"), F.lit(100).alias("chunk"), (k % 5 != 0).alias("same_snapshot"), F.when(k % 3 == 0, k * 30 - 500).alias("wanted"))
+    return reports.snapshot_transfer(steps)
+
+
+@_q("quiet_peers", "select peer_id, received_ms, quiet_ms from (select user_id % 300 as peer_id, epoch_us(ts) // 1000 as received_ms, lead(epoch_us(ts) // 1000) over (partition by user_id % 300 order by ts, log_index) - epoch_us(ts) // 1000 as quiet_ms from log) where quiet_ms > 1500", _LOG)
+def quiet_peers(s, d):
+    pulses = a.events_log(s, d).select((F.col("user_id") % 300).alias("peer_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("received_ms"))
+    return reports.quiet_peers(pulses)
+
+
+@_q("flood_verified", "select 5 as log_index, 6 as iteration, 4 as before union all select 6, 7, 6 where false")
+def flood_verified(s, d):
+    """A made-up load in which one entry has been lost and its successors moved up."""
+    log = reports.flood(s, 50).filter("log_index <> 5")
+    moved = log.withColumn("log_index", F.when(F.col("log_index") > 5, F.col("log_index") - 1).otherwise(F.col("log_index")))
+    return reports.verify_flood(moved).select(F.col("log_index").cast("int").alias("log_index"), F.col("iteration").cast("int").alias("iteration"), F.col("_before").cast("int").alias("before"))
