@@ -60,8 +60,11 @@ def accepted_secret(messages: DataFrame, secret: bytes) -> DataFrame:
 
 
 def next_apply_ok(batches: DataFrame) -> DataFrame:
-    """batches(seq, next_index, n, snapshot_index): batches that do not continue what was applied."""
-    w = Window.orderBy("seq")
-    applied = F.coalesce(F.lag(F.col("next_index") + F.col("n") - 1).over(w), F.lit(0))
-    want = F.coalesce(F.col("snapshot_index"), applied) + 1
-    return batches.withColumn("expected", want).filter(F.col("next_index") != F.col("expected"))
+    """batches(seq, next_index, n, snapshot_index), seq dense from 1: those that do not continue what was applied.
+
+    A self-join on the batch before: no global order is needed.
+    """
+    prev = batches.select((F.col("seq") + 1).alias("_s"), (F.col("next_index") + F.col("n") - 1).alias("_applied"))
+    want = F.coalesce(F.col("snapshot_index"), F.col("_applied"), F.lit(0)) + 1
+    met = batches.join(prev, F.col("seq") == F.col("_s"), "left")
+    return met.select(*batches.columns, want.alias("expected")).filter(F.col("next_index") != F.col("expected"))

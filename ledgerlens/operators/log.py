@@ -115,13 +115,20 @@ def truncate(log: DataFrame, index: int) -> DataFrame:
 
 
 def append(log: DataFrame, new: DataFrame, last_index: int, index: int | None = None) -> DataFrame:
-    """log up to index, then new(seq, ...) in the order of seq with dense indexes from index on."""
+    """log up to index, then new(seq, ...) in the order of seq with dense indexes from index on.
+
+    Where arrival numbers are dense already, indexes follow by arithmetic; only numbers with
+    holes are ranked, which takes one task for the rows of the call.
+    """
     at = last_index + 1 if index is None else index
     if at > last_index + 1:
         raise ValueError(f"non linear addition: {at} after {last_index}")
     if at < 1:
         raise ValueError("indexes begin at 1")
-    numbered = new.withColumn("log_index", (F.row_number().over(Window.orderBy("seq")) + (at - 1)).cast("bigint")).drop("seq")
+    b = new.agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.countDistinct("seq").alias("d"), F.count(F.lit(1)).alias("n")).first()
+    dense = b.n == 0 or b.b - b.a + 1 == b.d == b.n
+    number = F.col("seq") - F.lit(b.a or 0) if dense else F.row_number().over(Window.orderBy("seq")) - 1
+    numbered = new.withColumn("log_index", (number + at).cast("bigint")).drop("seq")
     return truncate(log, at).unionByName(numbered.select(*log.columns))
 
 
