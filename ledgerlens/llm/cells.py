@@ -32,6 +32,24 @@ def dealt_cells(rows: DataFrame, key: str, member: str, block: int, parts: int |
     return dealt.sortWithinPartitions(*spec)
 
 
+def dealt_whole(rows: DataFrame, key: str, member: str, block: int, scratch) -> DataFrame:
+    """As ``dealt_cells``, for rows that carry all that is compared: cells of one row stay.
+
+    Rows are moved once, and their number is that of ``rows`` at every size of the corpus. Only
+    the cells of over ``block`` rows are looked up, in a written table whose size the planner
+    knows; where there are none, or few, it is sent to the tasks.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block)
+    hot = scratch.save(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_size") / F.lit(block)).cast("int").alias("_g")), "hot")
+    met = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    met = met.withColumn("_s", F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(member), F.col("_g")).cast("int")))
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("_g", F.lit(1)) - 1), lambda t: F.struct(F.least("_s", t).alias("a"), F.greatest("_s", t).alias("b")))
+    met = met.withColumn("_u", F.explode(pairs))
+    met = met.select(*rows.columns, F.col("_u.a").alias("unit_a"), F.col("_u.b").alias("unit_b"), F.col("_s").alias("side"))
+    spec = [key, "unit_a", "unit_b"]
+    return met.repartition(*spec).sortWithinPartitions(*spec)
+
+
 def each_unit(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], dict | None]) -> Iterator[pa.RecordBatch]:
     """Calls work with the rows of one (key, unit_a, unit_b) at a time, of sorted batches.
 

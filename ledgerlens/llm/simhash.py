@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import dealt_cells, each_unit, forest, near_pairs, whole_units
+from .cells import dealt_cells, dealt_whole, each_unit, forest, near_pairs, whole_units
 from .common import Scratch
 from .components import connected_components
 
@@ -251,16 +251,17 @@ def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
                     k ^= k >> np.uint64(29)
                 out[:, t] = k * np.uint64(0xBF58476D1CE4E5B9)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(1), lists], ["rep", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for k in range(lanes)), lists], ["rep", *parts, "cells"])
 
-    keyed = classes.filter("rep is not null").mapInArrow(cells, "rep long, cells array<long>")
-    keyed = scratch.save(keyed, "cells").select("rep", F.explode("cells").alias("cell"))
-    met = dealt_cells(keyed, "cell", "rep", BLOCK).join(classes.select("rep", "fp"), "rep")
-    met = met.repartition("cell", "unit_a", "unit_b").sortWithinPartitions("cell", "unit_a", "unit_b")
+    parts = [f"f{k}" for k in range(lanes)]
+    keyed = classes.filter("rep is not null").mapInArrow(cells, f"rep long, {', '.join(f'{c} long' for c in parts)}, cells array<long>")
+    keyed = scratch.save(keyed, "cells").select("rep", *parts, F.explode("cells").alias("cell"))
+    met = dealt_whole(keyed, "cell", "rep", BLOCK, scratch)
 
     def links(batches):
         for table, unit in whole_units(batches, "cell"):
-            x, rep, side = matrix(table["fp"]), table["rep"].to_numpy(), table["side"].to_numpy()
+            x = np.stack([table[c].to_numpy().view(np.uint64) for c in parts], axis=1)
+            rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
             cross = table["unit_a"].to_numpy() != table["unit_b"].to_numpy()
             to_pivot = np.stack([np.bitwise_count(x ^ p).sum(1, dtype=np.int16) for p in pivots], axis=1)
 
