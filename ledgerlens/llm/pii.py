@@ -4,8 +4,10 @@ Patterns find the protected entities (email, ip, card, phone). Terms in the cont
 entity's mentions are weighed by what they reveal of it: with p estimated from the corpus,
 PMI(entity; term) = log p(e, t) / (p(e) p(t)) against the entity's information IC(e) =
 -log p(e). A term whose PMI reaches ``generalise`` x IC(e) is replaced by its category where it
-stands by the entity, from ``remove`` x IC(e) on it is taken out. Only terms that stand by the
-same entity in at least ``support`` different texts are weighed: fewer say nothing.
+stands by the entity, from ``remove`` x IC(e) on it is taken out. Every entity is weighed with
+every term beside it. Where they meet in fewer than ``support`` different texts the term's
+frequency is smoothed, as if one further text held it: chance alone then is no disclosure (in a
+corpus of few texts none comes out), and what few texts show is generalised before it is removed.
 
 p(e) and p(e, t) count different texts, p(t) counts all rows of the corpus that hold the
 term; copies of a text thus can't make a term look revealing.
@@ -142,9 +144,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, generalise
     """(entity, term, disclosure): PMI / IC of the terms that reach ``generalise``."""
     by_text = found.groupBy("text_key").agg(F.first("near").alias("near"), *(F.first(k).alias(k) for k in KINDS))
     mention = by_text.select("text_key", F.explode(F.array_distinct(F.flatten(F.array(*[_entities(k) for k in KINDS])))).alias("entity"))
-    entities = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).filter(F.col("de") >= support)
+    entities = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
     beside = by_text.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("text_key", "x.*")
-    joint = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("j")).filter(F.col("j") >= support)
+    joint = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("j"))
     wanted = joint.join(entities, "entity")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(rf"(?<!\p{{L}}){_TERM}"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
@@ -152,7 +154,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, generalise
     texts = by_text.agg(F.count(F.lit(1)).alias("texts"))
     one = rows.crossJoin(texts)  # one row each
     met = wanted.join(counts, "term").join(F.broadcast(one))
-    pe, pet, pt = F.col("de") / F.col("texts"), F.col("j") / F.col("texts"), F.col("dt") / F.col("rows")
+    more = F.when(F.col("j") < support, 1).otherwise(0)
+    pe, pet, pt = F.col("de") / F.col("texts"), F.col("j") / F.col("texts"), (F.col("dt") + more) / (F.col("rows") + more)
     share = F.when(pe < 1, F.log(pet / (pe * pt)) / -F.log(pe)).otherwise(F.lit(0.0))
     return met.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise)
 

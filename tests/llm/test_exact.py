@@ -143,6 +143,19 @@ def test_disclosing_terms_are_taken_out(spark):
     assert {r.text for r in pii.sanitise(few).collect()} == {"zanzibar Quixote <EMAIL>", "nothing"}
 
 
+def test_terms_of_rare_entities_come_out_of_the_tables(spark, sf):
+    from ledgerlens.llm import pii
+
+    rows = queries.op2_disclosure(spark, sf).collect()
+    assert any(",term:" in r.spans for r in rows)
+    assert all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows if "term:" in r.spans)
+    filler = [f"some common text about nothing {i}" for i in range(300)]
+    once = "zanzibar Quixote wrote some common text to agent@x.org"
+    docs = spark.createDataFrame(list(enumerate([*filler, once])), "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert out[300] == "<TERM> <NAME> <TERM> some common text to <EMAIL>"
+
+
 def test_op8_spotsigs(spark, sf, texts):
     anchors = set(spotsigs.ANCHORS)
 
