@@ -9,8 +9,8 @@ every term beside it. Where they meet in fewer than ``support`` different texts
 frequency is smoothed, as if one further text held it: chance alone then is no disclosure (in a
 corpus of few texts none comes out), and what few texts show is generalised before it is removed.
 
-p(e) and p(e, t) count different texts, p(t) counts all rows of the corpus that hold the
-term; copies of a text thus can't make a term look revealing.
+All three probabilities count different texts; copies of a text thus can neither make a term
+look revealing nor hide that it is.
 """
 
 from __future__ import annotations
@@ -148,14 +148,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, generalise
     beside = by_text.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("text_key", "x.*")
     joint = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("j"))
     wanted = joint.join(entities, "entity")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(rf"(?<!\p{{L}}){_TERM}"), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
-    rows = docs.agg(F.count(F.lit(1)).alias("rows"))
-    texts = by_text.agg(F.count(F.lit(1)).alias("texts"))
-    one = rows.crossJoin(texts)  # one row each
-    met = wanted.join(counts, "term").join(F.broadcast(one))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    once = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!\p{{L}}){_TERM}"), F.lit(0)))
+    counts = once.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
+    texts = by_text.agg(F.count(F.lit(1)).alias("texts"))  # one row
+    met = wanted.join(counts, "term").join(F.broadcast(texts))
     more = F.when(F.col("j") < support, 1).otherwise(0)
-    pe, pet, pt = F.col("de") / F.col("texts"), F.col("j") / F.col("texts"), (F.col("dt") + more) / (F.col("rows") + more)
+    pe, pet, pt = F.col("de") / F.col("texts"), F.col("j") / F.col("texts"), (F.col("dt") + more) / (F.col("texts") + more)
     share = F.when(pe < 1, F.log(pet / (pe * pt)) / -F.log(pe)).otherwise(F.lit(0.0))
     return met.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise)
 

@@ -156,6 +156,16 @@ def test_terms_of_rare_entities_come_out_of_the_tables(spark, sf):
     assert out[300] == "<TERM> <NAME> <TERM> some common text to <EMAIL>"
 
 
+def test_copies_do_not_hide_disclosing_terms(spark):
+    from ledgerlens.llm import pii
+
+    filler = [f"some common text about nothing {i}" for i in range(300)]
+    linked = [f"zanzibar some common text {i} agent@x.org" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(filler + linked + linked[:1] * 200)), "doc_id bigint, text string")
+    out = {r.text for r in pii.sanitise(docs).collect() if r.doc_id >= 300}
+    assert out == {f" some common text {i} <EMAIL>" for i in range(3)}
+
+
 def test_op8_spotsigs(spark, sf, texts):
     anchors = set(spotsigs.ANCHORS)
 
