@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of linked SimHash fingerprints: those of
-    4-word shingles within 4 bits, and wide ones of 5-word shingles at Jaccard 0.8."""
+    4-word shingles within 4 bits, and texts whose 5-word shingles have Jaccard 0.8."""
     return simhash.near_copy_dedup(docs, shingle=5, similarity=0.8, radius=4)
 
 

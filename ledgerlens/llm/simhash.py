@@ -167,15 +167,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, scratch:
 # of a large corpus come as close by chance. LANES x 64 bits tell both apart.
 
 LANES = 4
-WIDE_TABLES, WIDE_BITS = 64, 20
+BANDS, BAND_ROWS = 24, 5
+VERIFY_BLOCK = 512
 
 
 def wide_radius(similarity: float, lanes: int = LANES) -> int:
-    """Bits in which texts of that Jaccard similarity differ, with a deviation to spare."""
+    """Bits in which texts of that Jaccard similarity differ, with four deviations to spare."""
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
     bits = 64 * lanes
-    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
 
 
 def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
@@ -190,72 +191,111 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(text: str | None, shingle: int, lanes: int = LANES) -> bytes:
-    """lanes x 8 bytes; each shingle counts once, as in the Jaccard similarity. No word: zeros."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; no word: a single 0."""
     words = words_of(text)
     if not words:
-        return bytes(8 * lanes)
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(1, np.uint64)
     digest = xxhash.xxh64_intdigest
-    seen = {digest(" ".join(words[i : i + shingle]), SEED) for i in range(n)} if n == 1 else {digest(s, SEED) for s in map(" ".join, zip(*(words[i:] for i in range(shingle))))}
-    hashes = np.fromiter(seen, np.uint64, len(seen))
+    if len(words) <= shingle:
+        return np.array([digest(" ".join(words), SEED)], np.uint64)
+    seen = {digest(s, SEED) for s in map(" ".join, zip(*(words[i:] for i in range(shingle))))}
+    return np.sort(np.fromiter(seen, np.uint64, len(seen)))
+
+
+def _wide_bits(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """lanes numbers of 64 bits; each shingle counts once, as in the Jaccard similarity."""
     ones = np.zeros(64 * lanes, np.int64)
     for a in range(0, len(hashes), 1 << 14):
         part = _lanes(hashes[a : a + (1 << 14)], lanes).astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8 * lanes), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def _bit_samples(tables: int, bits: int, lanes: int) -> np.ndarray:
-    """tables x lanes masks of ``bits`` bits each, fixed."""
+def _band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One number for each band of ``rows`` least hashes, each under an order of its own."""
     rng = np.random.default_rng(SEED)
-    masks = np.zeros((tables, lanes), np.uint64)
-    for t in range(tables):
-        for b in rng.choice(64 * lanes, bits, replace=False):
-            masks[t, b // 64] |= np.uint64(1 << int(b % 64))
-    return masks
-
-
-def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = LANES, tables: int = WIDE_TABLES, bits: int = WIDE_BITS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, component_id) over links of wide fingerprints within ``wide_radius(similarity)`` bits.
-
-    Candidates agree on one of ``tables`` samples of ``bits`` bits (at Jaccard 0.8 some 92 of 100
-    pairs do, at 0.9 all but one in a thousand); pivot distances discard, all bits verify.
+    flip = rng.integers(0, 1 << 63, bands * rows, np.uint64)
+    odd = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 1 << 12):
+        np.minimum(least, ((hashes[a : a + (1 << 12), None] ^ flip) * odd).min(0), out=least)
+    least, k = least.reshape(bands, rows), np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        k = (k ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        k ^= k >> np.uint64(29)
+    return k * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _verify(table: pa.Table, shingle: int, similarity: float) -> dict | None:
+    """Links (u, v) that connect the texts of one unit as their exact Jaccard similarities do.
+
+    Each text is held against the later ones that it isn't connected with yet. Sizes and, as
+    1 - Jaccard is a metric, distances to earlier texts discard; shared shingles verify.
+    """
+    rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
+    cross = table["unit_a"][0] != table["unit_b"][0]
+    sets = [shingle_set(x.as_py(), shingle) for x in table["text"]]
+    n, size = len(sets), np.array([len(x) for x in sets])
+    label, known = np.arange(n), []
+    u, v = [], []
+    for h in range(n - 1):
+        todo = np.zeros(n, bool)
+        todo[h + 1 :] = np.minimum(size[h], size[h + 1 :]) >= similarity * np.maximum(size[h], size[h + 1 :]) - 1e-9
+        if cross:
+            todo &= side != side[h]
+        for far in known:
+            todo &= ~(np.abs(far - far[h]) > 1 - similarity + 1e-9)
+        far = np.full(n, np.nan)
+        far[h] = 0
+        for first in (True, False):  # one of each part, then the rest of the parts still apart
+            at = np.flatnonzero(todo & (label != label[h]))
+            if first and len(at):
+                at = at[np.unique(label[at], return_index=True)[1]]
+            todo[at] = False
+            for a in range(0, len(at), 64):
+                some = at[a : a + 64]
+                held = np.concatenate([sets[x] for x in some])
+                found = sets[h][np.minimum(np.searchsorted(sets[h], held), size[h] - 1)] == held
+                both = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
+                far[some] = 1 - both / (size[h] + size[some] - both)
+            for x in at[far[at] <= 1 - similarity + 1e-9]:
+                if label[x] != label[h]:
+                    label[label == label[x]] = label[h]
+                    u.append(rep[x])
+                    v.append(rep[h])
+        if len(known) < 16 and np.isfinite(far).sum() > 2:
+            known.append(far)
+    return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
+
+
+def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = LANES, bands: int = BANDS, rows: int = BAND_ROWS, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, component_id) over links of texts whose shingle sets have that Jaccard similarity.
+
+    Candidates agree on one of ``bands`` bands of ``rows`` least hashes (at Jaccard 0.8 all pairs
+    but one in ten thousand do) and lie within ``wide_radius(similarity)`` bits. Both only make
+    groups, in which every pair that may still be linked is verified by its shingles.
     """
     scratch = scratch or Scratch(docs.sparkSession, "wide")
     radius = wide_radius(similarity, lanes)
     ids = docs.schema["doc_id"].dataType.simpleString()
+    parts = [f"f{k}" for k in range(lanes)]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def prints(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t.as_py(), shingle, lanes) for t in b.column(1)], pa.binary())], ["doc_id", "fp"])
-
-    fps = scratch.save(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(prints, f"doc_id {ids}, fp binary"), "prints")
-    classes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "classes")
-    masks = _bit_samples(tables, bits, lanes)
+            keys, wide, cells = [], np.empty((b.num_rows, lanes), np.uint64), np.empty((b.num_rows, bands), np.uint64)
+            for i, t in enumerate(b.column(1)):
+                hashes = shingle_set(t.as_py(), shingle)
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                wide[i], cells[i] = _wide_bits(hashes, lanes), _band_keys(hashes, bands, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, bands), pa.int32()), pa.array(cells.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(lanes)), lists], ["doc_id", "key", *parts, "cells"])
+
+    made = scratch.save(texts.mapInArrow(prints, f"doc_id {ids}, key binary, {', '.join(f'{c} long' for c in parts)}, cells array<long>"), "prints")
+    classes = scratch.save(made.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in (*parts, "cells"))), "classes")
     pivots = np.array([[xxhash.xxh64_intdigest(f"pivot {i} {k}", seed=SEED) for k in range(lanes)] for i in range(8)], np.uint64)
-
-    def matrix(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)
-
-    def cells(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(0))
-            out = np.empty((len(x), tables), np.uint64)
-            for t in range(tables):
-                k = np.full(len(x), t + 1, np.uint64)
-                for lane in range(lanes):
-                    k = (k ^ (x[:, lane] & masks[t, lane])) * np.uint64(0x9E3779B97F4A7C15)
-                    k ^= k >> np.uint64(29)
-                out[:, t] = k * np.uint64(0xBF58476D1CE4E5B9)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for k in range(lanes)), lists], ["rep", *parts, "cells"])
-
-    parts = [f"f{k}" for k in range(lanes)]
-    keyed = classes.filter("rep is not null").mapInArrow(cells, f"rep long, {', '.join(f'{c} long' for c in parts)}, cells array<long>")
-    keyed = scratch.save(keyed, "cells").select("rep", *parts, F.explode("cells").alias("cell"))
+    keyed = classes.filter("rep is not null").select("rep", *parts, F.explode("cells").alias("cell"))
     met = dealt_whole(keyed, "cell", "rep", BLOCK, scratch)
 
     def links(batches):
@@ -278,9 +318,13 @@ def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
                 moved = np.flatnonzero(label != np.arange(len(x)))
                 yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["u", "v"])
 
-    comps = connected_components(met.mapInArrow(links, "u long, v long"), scratch)
-    named = classes.join(comps, classes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "component_id")
+    groups = connected_components(met.mapInArrow(links, "u long, v long"), scratch)
+    held = texts.join(groups, F.col("doc_id").cast("long") == F.col("node")).select(F.col("node").alias("rep"), "component", "text")
+    held = dealt_cells(scratch.save(held, "held"), "component", "rep", VERIFY_BLOCK)
+    exact = held.mapInArrow(lambda batches: each_unit(batches, "component", lambda t: _verify(t, shingle, similarity)), "u long, v long")
+    comps = connected_components(exact, scratch)
+    named = classes.join(comps, classes.rep == comps.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return made.join(named, "key").select("doc_id", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -307,7 +351,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFra
 
 def near_copy_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One document of each group that links of either kind make: fingerprints of 4-word
-    shingles within ``radius`` bits, wide ones of ``shingle`` words at ``similarity``."""
+    shingles within ``radius`` bits, shingle sets of ``shingle`` words of Jaccard ``similarity``."""
     scratch = Scratch(docs.sparkSession, "neardup")
     texts = docs.select("doc_id", "text")
     edges = simhash_groups(texts, 4, radius, scratch).select(F.col("doc_id").cast("long").alias("u"), F.col("component_id").alias("v")).filter("u <> v")

@@ -88,6 +88,19 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert kept >= set(want) and len(kept) <= 44
 
 
+def test_wide_links_are_those_of_jaccard(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(20000)]
+    shared = [86] * 200 + [85, 84, 83, 82, 81, 80] * 20  # of 96 shingles: Jaccard 0.81, and 0.79 to 0.71
+    rows = []
+    for g, s in enumerate(shared):
+        t, e = rng.choice(words, 100), rng.choice(words, 100)
+        rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join([*t[: s + 4], *e[s + 4 :]]))]
+    got = {r.doc_id: r.component_id for r in simhash.wide_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = [got[2 * g + 1] == 2 * g for g in range(len(shared))]
+    assert sum(linked[:200]) >= 199 and not any(linked[200:])
+
+
 def luhn(x):
     t = 0
     for i, c in enumerate(reversed(x)):
