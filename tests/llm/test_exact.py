@@ -101,6 +101,18 @@ def test_wide_links_are_those_of_jaccard(spark):
     assert sum(linked[:200]) >= 199 and not any(linked[200:])
 
 
+def test_verified_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 9999, 120)]
+    texts = [" ".join([*base[: 120 - k], *(f"n{i}x{j}" for j in range(k))]) for i, k in enumerate(rng.integers(0, 40, 50))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(a, b) for a in range(50) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.wide_groups(docs).collect()}
+    assert [got[i] for i in range(50)] == groups_by(50, pairs)
+
+
 def luhn(x):
     t = 0
     for i, c in enumerate(reversed(x)):
