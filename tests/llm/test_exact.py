@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import lpt, packing, queries, simhash, spotsigs
 
@@ -154,41 +155,104 @@ def test_pii_of_awkward_texts(spark, tmp_path):
     check_pii(queries.op2_disclosure(spark, str(tmp_path)).collect(), dict(enumerate(hard)))
 
 
+def disclosure(texts, support=3, generalise=0.85, remove=0.98):
+    """Spans of terms for each text, from the definition."""
+    texts = sorted(set(texts))
+    of, words = {}, {}
+    for t in texts:
+        _, b = base_spans(t)
+        spots = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in b.split(",") if x]
+        of[t] = {f"{k} {t[a:e].lower() if k in ('email', 'ip') else re.sub('[^0-9]', '', t[a:e])}" for k, a, e in spots}
+        m = "".join(" " if any(a <= i < e for _, a, e in spots) else c for i, c in enumerate(t))
+        words[t] = [(x.start(), x.end(), x[0]) for x in re.finditer(r"[^\W\d_]+", m)]
+    n = len(texts)
+    dt = collections.Counter(w for t in texts for w in {x.lower() for x in re.findall(r"[^\W\d_]+", t)})
+    de = collections.Counter(e for t in texts for e in of[t])
+    j = collections.Counter((e, w) for t in texts for e in of[t] for w in {x[2].lower() for x in words[t]})
+    share = {}
+    for (e, w), k in j.items():
+        m = int(k < support)
+        if de[e] < n:
+            share[e, w] = math.log(k / n / (de[e] / n * (dt[w] + m) / (n + m))) / -math.log(de[e] / n)
+    share = {k: v for k, v in share.items() if v >= generalise}
+    everywhere = collections.defaultdict(float)
+    for (e, w), v in share.items():
+        if j[e, w] >= support:
+            everywhere[w] = max(everywhere[w], v)
+    out = {}
+    for t in texts:
+        spans = []
+        for a, b, w in words[t]:
+            v = max([everywhere.get(w.lower(), 0), *(share.get((e, w.lower()), 0) for e in of[t])])
+            if v:
+                spans.append((a, b, "" if v >= remove else "<NAME>" if w[0].isupper() else "<TERM>"))
+        out[t] = spans
+    return out
+
+
+def check_terms(docs):
+    from ledgerlens.llm import pii
+
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = disclosure(text.values())
+    got = {r.doc_id: [tuple(x) for x in r.terms] for r in pii.find_pii(docs).collect()}
+    assert got == {i: want[t] for i, t in text.items()}
+    return got
+
+
+def test_terms_of_the_tables_equal_brute_force(spark, sf):
+    got = check_terms(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert sum(map(len, got.values())) > 100
+    rows = {r.doc_id: r.spans for r in queries.op2_disclosure(spark, sf).collect()}
+    assert all(f"term:{a}:{b}" in rows[i].split(",") for i, spans in got.items() for a, b, _ in spans)
+
+
 def test_disclosing_terms_are_taken_out(spark):
     from ledgerlens.llm import pii
 
-    filler = ["some common text about nothing much number " + "abcdefghij"[i % 10] * 5 for i in range(300)]
-    linked = [f"{'abcdefghij'[i] * 6} wrote about zanzibar Quixote yes to agent@x.org about common text {'abcdefghij'[i] * 7}" for i in range(5)]
-    docs = spark.createDataFrame(list(enumerate(filler + linked)), "doc_id bigint, text string")
+    letters = "abcdefghij"
+    filler = [f"some common text about nothing much number {letters[i % 10] * 5} {letters[i // 10 % 10] * 4} {letters[i // 100] * 3}" for i in range(300)]
+    linked = [f"{letters[i] * 6} wrote about zanzibar Quixote yes to agent@x.org about common text {letters[i] * 7}" for i in range(5)]
+    far = "agent@x.org met " + "some common text about nothing much number " * 30 + "Quixote"
+    alone = "Quixote lives alone here"
+    docs = spark.createDataFrame(list(enumerate([*filler, *linked, *linked[:1] * 40, far, alone, alone])), "doc_id bigint, text string")
+    check_terms(docs)
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert all(out[i] == filler[i] for i in range(300))
-    for i in range(300, 305):
+    for i in range(300, 345):
         assert "agent@x.org" not in out[i] and "<EMAIL>" in out[i] and "zanzibar" not in out[i] and "Quixote" not in out[i] and "common text" in out[i]
+    assert "Quixote" not in out[345] and out[346] == out[347] == "<NAME> lives alone here"
     few = spark.createDataFrame([(0, "zanzibar Quixote agent@x.org"), (1, "nothing")], "doc_id bigint, text string")
     assert {r.text for r in pii.sanitise(few).collect()} == {"zanzibar Quixote <EMAIL>", "nothing"}
 
 
-def test_terms_of_rare_entities_come_out_of_the_tables(spark, sf):
+def test_terms_of_rare_entities_come_out(spark):
     from ledgerlens.llm import pii
 
-    rows = queries.op2_disclosure(spark, sf).collect()
-    assert any(",term:" in r.spans for r in rows)
-    assert all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows if "term:" in r.spans)
-    filler = [f"some common text about nothing {i}" for i in range(300)]
+    filler = ["some common text about nothing " + "x" * i for i in range(300)]
     once = "zanzibar Quixote wrote some common text to agent@x.org"
     docs = spark.createDataFrame(list(enumerate([*filler, once])), "doc_id bigint, text string")
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert out[300] == "<TERM> <NAME> <TERM> some common text to <EMAIL>"
+    assert out[300] == "<TERM> <NAME> <TERM> some common text <TERM> <EMAIL>" and [out[i] for i in range(300)] == filler
 
 
 def test_copies_do_not_hide_disclosing_terms(spark):
     from ledgerlens.llm import pii
 
-    filler = [f"some common text about nothing {i}" for i in range(300)]
-    linked = [f"zanzibar some common text {i} agent@x.org" for i in range(3)]
+    filler = ["some common text about nothing " + "x" * i for i in range(300)]
+    linked = [f"zanzibar some common text {'x' * i} agent@x.org" for i in range(3)]
     docs = spark.createDataFrame(list(enumerate(filler + linked + linked[:1] * 200)), "doc_id bigint, text string")
+    check_terms(docs)
     out = {r.text for r in pii.sanitise(docs).collect() if r.doc_id >= 300}
-    assert out == {f" some common text {i} <EMAIL>" for i in range(3)}
+    assert out == {f" some common text {'x' * i} <EMAIL>" for i in range(3)}
+
+
+def test_spans_of_many_matches(spark):
+    from ledgerlens.llm import pii
+
+    text = " é".join(f"w{'x' * (i % 7)}" for i in range(5000))
+    got = spark.createDataFrame([(text,)], "t string").select(pii._located(F.col("t"), pii._WORD, lambda x: F.length(x) > 3).alias("s")).first().s
+    assert [(r.start, r.end, r.value) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) > 3]
 
 
 def test_op8_spotsigs(spark, sf, texts):
