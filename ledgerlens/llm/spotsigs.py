@@ -1,11 +1,12 @@
 """SpotSigs fingerprints with DataFrame functions alone.
 
-A spot signature is an anchor (a very common word) that a content word follows, with the
-``CHAIN`` content words from there on, anchors between them skipped; of a run of anchors the
-last one counts, so the signatures of a text take space in proportion to it. A text's fingerprint is the set of its signatures' 32-bit hashes; a
+A spot signature is an anchor (a very common word) with the next ``CHAIN`` content words after it,
+anchors between them skipped. All anchors of a run share their chain, so a run gives a signature
+for each different anchor in it, at most the list's length, and the signatures of a text take
+space in proportion to it. A text's fingerprint is the set of its signatures' 32-bit hashes; a
 text without any has the hash of its words as its only one, so that equal texts always have
-equal fingerprints. Two fingerprints are compared by Jaccard; a pair whose set lengths alone
-rule the threshold out is never looked at.
+equal fingerprints. Two fingerprints are compared by Jaccard; in ``spotsigs_pairs`` a pair whose set
+lengths alone rule the threshold out is never looked at.
 """
 
 from __future__ import annotations
@@ -27,26 +28,35 @@ ANCHORS = (
 CHAIN = 2
 
 
-def _anchors() -> str:
-    by_first: dict[str, list[str]] = {}
-    for w in sorted(set(ANCHORS), key=lambda w: (w[0], -len(w))):
-        by_first.setdefault(w[0], []).append(w[1:])
-    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" if rest != [""] else c for c, rest in by_first.items()) + ")"
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once; what a lambda refers to is else computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def plain_words(text: Column) -> Column:
-    """Lower-cased letters and digits, single blanks around every word."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def signatures(text: Column) -> Column:
+    """Sorted distinct signature hashes (array<int>) of a text that is not null.
 
+    Words are runs of letters and digits, lower-cased. With content words marked by one
+    character, splitting gives the run of anchors before each of them.
+    """
+    anchor = lambda w: w.isin(*ANCHORS)
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes (array<int>) of a text that is not null."""
-    a = _anchors()
-    words = plain_words(text)
-    chain = f"(?<= )(?=({a} (?!{a} )[^ ]++" + f" (?:{a} )*+[^ ]++" * (CHAIN - 1) + ") )"
-    found = F.regexp_extract_all(words, F.lit(chain), F.lit(1))
-    hashed = F.transform(found, lambda x: F.hash(F.regexp_replace(x, f"(?<= )(?:{a} )++", "")))
-    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(hashed))).otherwise(F.array(F.hash(words)))
+    def parts(w):
+        marked = F.array_join(F.transform(w, lambda x: F.when(anchor(x), F.concat(x, F.lit(" "))).otherwise(F.lit("|"))), "")
+        return F.struct(w.alias("words"), F.filter(w, lambda x: ~anchor(x)).alias("content"), F.split(marked, r"\|").alias("runs"))
+
+    def hashes(p):
+        def of(run, k):
+            chain = [F.element_at(p["content"], k + 1 + i) for i in range(CHAIN)]
+            return F.transform(F.array_distinct(F.split(F.rtrim(run), " ")), lambda a: F.hash(a, *chain))
+
+        starts = F.slice(p["runs"], F.lit(1), F.greatest(F.size(p["content"]) - (CHAIN - 1), F.lit(0)))
+        each = F.transform(starts, lambda run, k: F.when(run != "", of(run, k)).otherwise(F.array().cast("array<int>")))
+        whole = F.array(F.hash(F.array_join(p["words"], " ")))
+        return _let(F.sort_array(F.array_distinct(F.flatten(each))), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+
+    return _let(words, lambda w: _let(parts(w), hashes))
 
 
 def as_text(sigs: Column) -> Column:
@@ -71,9 +81,13 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", buckets:
     spark = docs.sparkSession
     buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")))
-    cuts = keyed.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 100 * buckets).alias("q")).first().q or []
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    placed = keyed.withColumn("_b", F.size(F.filter(bounds, lambda x: x <= F.col("_k"))))
+    cuts = sorted(set(keyed.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 100 * buckets).alias("q")).first().q or []))
+    depth = len(cuts).bit_length()
+    bounds = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
+    # binary search for the number of bounds that are not above the key
+    halved = F.array(*[F.lit(1 << i) for i in reversed(range(depth))]) if depth else F.array().cast("array<int>")
+    fits = lambda at, step: (at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= F.col("_k"))
+    placed = keyed.withColumn("_b", F.aggregate(halved, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at)))
     firsts = [(r._b, r.k) for r in placed.groupBy("_b").agg(F.min("_k").alias("k")).orderBy("_b").collect()]  # a row for each range
     before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     guests = spark.createDataFrame(before, "_gk long, _gb int")
@@ -112,27 +126,49 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
 
 
-def spotsigs_pairs(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def spotsigs_pairs(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(pairs, classes): pairs(a, b, likeness) of class ids with Jaccard >= threshold, and classes(doc_id, class_id).
 
-    Equal fingerprints are one class (its least doc_id), so copies are never paired out.
+    Equal fingerprints are one class (its least doc_id), so copies are never paired out; there
+    are as many pairs as there are links between different fingerprints.
     Sets are partitioned by length: ranges whose ends differ by the factor threshold, so a
     set can only match in its own or the next range. Within a range a set posts its rarest
-    signatures, as many as any partner must share one of; candidates outside the exact
-    length bound are pruned before their sets are met and verified.
+    signatures, as many as any partner must share one of. A pair is looked at once, where its
+    first common signature is posted, and only if the lengths and what is left of both sets from there
+    on allow the threshold; survivors are verified by their whole sets. Postings of a signature
+    in a range are dealt into blocks of about ``block`` rows, whose pairs are compared in tasks of their own.
+
+    Null texts are empty, and empty texts are alike; repeated rows each get a row of classes;
+    rows without doc_id get a class only through an equal text that has one, else null, and are in no
+    pair; an empty table gives empty results; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "spotsigs")
     sets = scratch.save(docs.select("doc_id", signatures(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sigs")), "sets")
     classes = scratch.save(sets.groupBy("sigs").agg(F.min("doc_id").alias("class_id")).withColumn("n", F.size("sigs")), "classes")
-    posted = classes.select("class_id", "n", F.explode("sigs").alias("sig"))
+    posted = classes.filter("class_id is not null").select("class_id", "n", F.explode("sigs").alias("sig"))
     rarity = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
     prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int")
-    ordered = posted.join(rarity, "sig").withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig"))).filter(F.col("r") <= prefix).filter("df > 1")
+    ordered = posted.join(rarity, "sig").withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig"))).filter(F.col("r") <= prefix)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / threshold)) + 1e-9).cast("int")
-    left = ordered.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", band.alias("band"))
-    right = ordered.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(band, band - 1)).alias("band"))
+    ordered = ordered.groupBy("class_id", "n").agg(F.collect_list(F.struct("r", "sig", "df")).alias("p"))  # a set's own signatures
+    ordered = ordered.select("class_id", "n", band.alias("band"), F.sort_array("p").alias("p")).select("*", F.transform("p", lambda x: x["sig"]).alias("first"), F.explode("p").alias("x"))
+    ordered = scratch.save(ordered.filter("x.df > 1").select("class_id", "n", "band", "first", F.col("x.sig").alias("sig"), F.col("x.r").alias("r")), "postings")
+    wide = F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")
+    sizes = ordered.select("sig", wide).groupBy("sig", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
+    sizes = scratch.save(sizes.filter("g > 1").select(F.col("sig").alias("_sig"), F.col("band").alias("_band"), "g"), "hot")
+
+    def dealt(rows: DataFrame, name: str, other: str) -> DataFrame:
+        met = rows.join(sizes, (rows.sig == sizes._sig) & (rows.band == sizes._band), "left").withColumn("g", F.coalesce("g", F.lit(1)))
+        own = F.pmod(F.xxhash64("class_id"), F.col("g")).cast("int")
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn(name, own).select("class_id", "n", "first", "sig", "band", "r", "ua", "ub")
+
+    left = dealt(ordered, "ua", "ub").select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"), F.col("r").alias("ra"), "sig", "band", "ua", "ub")
+    right = dealt(ordered.select("class_id", "n", "first", "sig", "r", wide), "ub", "ua").select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.col("r").alias("rb"), "sig", "band", "ua", "ub")
     shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    near = left.join(right, ["sig", "band"]).filter(shorter & (F.col("na") >= F.col("nb") * threshold)).select("a", "b").distinct()
+    least = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    left_over = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1 >= least
+    here = F.element_at(F.array_intersect("fa", "fb"), 1) == F.col("sig")
+    near = left.join(right, ["sig", "band", "ua", "ub"]).filter(shorter & (F.col("na") >= F.col("nb") * threshold) & left_over & here).select("a", "b")
     sa = classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa"))
     sb = classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb"))
     pairs = near.join(sa, "a").join(sb, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).filter(F.col("likeness") >= threshold)

@@ -1,6 +1,7 @@
 """Operators against brute force on the smallest tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -255,19 +256,20 @@ def test_spans_of_many_matches(spark):
     assert [(r.start, r.end, r.value) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) > 3]
 
 
-def test_op8_spotsigs(spark, sf, texts):
+def spots(t):
     anchors = set(spotsigs.ANCHORS)
+    w = re.sub(r"[^\w]|_", " ", t.lower()).split()
+    out = set()
+    for i, x in enumerate(w):
+        if x in anchors:
+            after = [y for y in w[i + 1 :] if y not in anchors][:2]
+            if len(after) == 2:
+                out.add((x, *after))
+    return out or {tuple(w)}
 
-    def sig(t):
-        w = re.sub(r"[^\w]|_", " ", t.lower()).split()
-        out = set()
-        for i, x in enumerate(w):
-            if x in anchors and i + 1 < len(w) and w[i + 1] not in anchors:
-                after = [y for y in w[i + 1 :] if y not in anchors][:2]
-                if len(after) == 2:
-                    out.add((x, *after))
-        return out or {tuple(w)}
 
+def test_op8_spotsigs(spark, sf, texts):
+    sig = functools.cache(spots)
     ids = sorted(texts)
     like = lambda x, y: len(x & y) / len(x | y)
     rows = queries.op8_spotsigs(spark, sf).collect()
@@ -280,12 +282,42 @@ def test_op8_spotsigs(spark, sf, texts):
         assert r.near_edited == pytest.approx(like(sig(t), sig(e))) and r.near_next == pytest.approx(like(sig(t), sig(nxt)))
 
 
-def test_spotsigs_pairs_lose_nothing(spark, sf):
+@pytest.mark.parametrize("block", [1024, 3])
+def test_spotsigs_pairs_lose_nothing(spark, sf, block):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    pairs, member = spotsigs.spotsigs_pairs(docs, 0.5)
+    pairs, member = spotsigs.spotsigs_pairs(docs, 0.5, block=block)
     sets = {r.class_id: set(r.sigs) for r in docs.select("doc_id", spotsigs.signatures("text").alias("sigs")).join(member, "doc_id").collect()}
-    want = {(min(a, b), max(a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    assert {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} == want and want
+    want = sorted((min(a, b), max(a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]))
+    assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()) == want and want
+
+
+def test_spotsigs_pairs_of_odd_rows(odd_docs, no_docs):
+    pairs, member = spotsigs.spotsigs_pairs(odd_docs)
+    assert pairs.collect() == []
+    rows = member.collect()
+    assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in odd_docs.collect())
+    by = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
+    assert by[0] == by[1] == by[10] == 0 and by[13] == by[3] == 3
+    assert [x.collect() for x in spotsigs.spotsigs_pairs(no_docs)] == [[], []]
+
+
+def test_signatures_of_awkward_texts(spark):
+    hard = ["", "the", "the of and", "the cat", "cat dog", "the cat dog", "the of the cat a dog the", "The|cat|DOG. a the|", "la é è the of ñandú 12 a b c", "the " * 4000, "the cat " * 3000, "of " * 500 + "cat dog"]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in hard], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).collect()]
+    assert [len(g) for g in got] == [len(spots(t)) for t in hard] and all(g == sorted(set(g)) for g in got)
+    assert got[5] != got[6] and set(got[5]) < set(got[6])
+
+
+def test_with_next_sees_every_successor(spark):
+    from pyspark.sql import Window
+
+    ids = [5, 1, 9, 9, 200, -3, 77, 1000, 4, 6]
+    docs = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id bigint, text string")
+    for buckets in (1, 2, 3, 7, 50):
+        at = spotsigs.with_next(docs, ["text"], buckets=buckets)
+        got = at.withColumn("n", F.lead("_k").over(Window.partitionBy("_b").orderBy("_guest", "_k", "text"))).filter("_guest = 0")
+        want = sorted(ids)
+        assert sorted((r.doc_id, r.n) for r in got.collect()) == sorted(zip(want, [*want[1:], want[0]])), buckets
 
 
 def test_op9_itq(spark, sf):
