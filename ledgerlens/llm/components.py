@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is an aggregation and an equi-join whose skewed keys Spark may split; its
-edges are written to the shared folder, so no lineage grows and lost executors only
-cost their own tasks. Edges never reach the driver: only a count and a checksum do.
+Every round is an aggregation and an equi-join; its edges are written to the shared folder,
+so no lineage grows and lost executors only cost their own tasks. Edges never reach the
+driver: only a count and a checksum do. Rows of a hub, a node that ends over one in ``SHARE`` of
+the edges, are not gathered: there are at most 2 * SHARE hubs, whatever the graph, and their least
+neighbours are sent to all tasks instead.
 """
 
 from __future__ import annotations
@@ -13,15 +15,25 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+SHARE = 200
+
+
+def _with_least(rows: DataFrame, least: DataFrame, most: float) -> DataFrame:
+    """rows(u, v) + m of least(u, m, d); nodes of more than ``most`` edges don't meet in one task."""
+    hubs = F.broadcast(least.filter(F.col("d") > most).select("u", "m"))  # of at most 2 * SHARE rows
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("d") <= most).select("u", "m"), "u")
+    return rows.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, most: float) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+    return _with_least(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, most: float) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+    moved = _with_least(edges, least, most).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -34,16 +46,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     at = edges.filter("u is not null and v is not null and u <> v")
     at = at.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     at = scratch.save(at, "edges")
-    mark = None
+    mark, n = None, at.count()
     for _ in range(rounds):
-        nxt = _small_star(_large_star(at)).distinct()
-        nxt = scratch.save(nxt, "edges")
+        most = max(16, n / SHARE)
+        nxt = scratch.save(_large_star(at, most).distinct(), "star")  # as many edges at most
         scratch.drop(at)
-        at = nxt
+        at = scratch.save(_small_star(nxt, most).distinct(), "edges")
+        scratch.drop(nxt)
         seen = at.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             break
-        mark = (seen.n, seen.h)
+        mark, n = (seen.n, seen.h), seen.n
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

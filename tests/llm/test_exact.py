@@ -70,6 +70,20 @@ def test_simhash_splits_large_cells(spark, monkeypatch):
     assert groups_by(64, got) == [0] * 64 and len(got) < 35 * 36 * 16
 
 
+def test_components_of_stars_paths_and_random_graphs(spark):
+    from ledgerlens.llm.common import Scratch
+    from ledgerlens.llm.components import connected_components
+
+    rng = np.random.default_rng(8)
+    edges = [(0, i) for i in range(1, 900)] + [(i, 899) for i in range(900, 1200)] + [(2000 + i, 2001 + i) for i in range(40)]
+    edges += [(3000 + int(a), 3000 + int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(5, 5), (7, None), (None, None)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([tuple(None if x is None else int(x) for x in e) for e in edges], "u bigint, v bigint")
+    got = {r.node: r.component for r in connected_components(df, Scratch(spark, "test")).collect()}
+    roots = groups_by(3300, [e for e in edges if None not in e])
+    assert got == {x: roots[x] for e in edges if None not in e and e[0] != e[1] for x in e}
+
+
 def test_wide_fingerprints_find_near_copies(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(3000)]
