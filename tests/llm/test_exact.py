@@ -334,15 +334,47 @@ def test_with_next_sees_every_successor(spark):
         assert sorted((r.doc_id, r.n) for r in got.collect()) == sorted(zip(want, [*want[1:], want[0]])), buckets
 
 
-def test_op9_itq(spark, sf):
+@pytest.mark.parametrize("table", ["sf0.1", "check_h"])
+def test_op9_itq(spark, table):
+    sf = f"/root/testdata/{table}"
     rows = {r.vec_id: r for r in queries.op9_itq(spark, sf).collect()}
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
-    assert set(rows) == set(e.vec_id)
-
+    assert set(rows) == set(e.vec_id) and len(rows) == len(e)
+    want, linked = {i: 0 for i in e.vec_id}, []
+    for _, part in e.groupby("label"):
+        ids, v = part.vec_id.to_numpy(), np.array(part.embedding.tolist(), np.float64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        near = np.triu(v @ v.T >= 0.93, 1)
+        want.update(zip(ids, (near.sum(0) + near.sum(1)).tolist()))
+        linked += [(ids[a], ids[b]) for a, b in np.argwhere(near)]
+    assert all(rows[i].n_links <= n for i, n in want.items())
+    assert sum(r.n_links for r in rows.values()) >= 0.9 * sum(want.values())
+    if table == "check_h":
+        assert linked and sum(rows[a].component_id == rows[b].component_id for a, b in linked) >= 0.99 * len(linked)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in rows.values())
+
+
+def test_itq_plan_reaches_its_recall():
+    from ledgerlens.llm import embeddings
 
-def test_itq_recall_and_components(spark):
+    rng = np.random.default_rng(7)
+    for largest in (1, 500, 6000, 1 << 20):
+        tables, width, radius = embeddings.plan_tables(largest, 0.93)
+        a, b = rng.standard_normal((2, 1500, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+        coder = embeddings.Coder(rng.standard_normal((3000, 64)), tables * width, rounds=10)
+        x, y = coder.bits(a), coder.bits(b)
+        meet = (x == y).reshape(1500, tables, width).all(2).any(1)
+        assert (meet & ((x != y).sum(1) <= radius)).mean() >= 0.93
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_itq_recall_and_components(spark, monkeypatch, block):
     from ledgerlens.llm import embeddings
 
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((60, 64))
     x = np.concatenate([centres[rng.integers(0, 60, 600)] + 0.22 * rng.standard_normal((600, 64)), rng.standard_normal((400, 64))])
