@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -32,6 +33,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run inside leave no shuffle files: what they write is read again, not made again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive lost executors.
 
@@ -50,7 +63,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

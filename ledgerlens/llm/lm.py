@@ -1,22 +1,28 @@
-"""Interpolated modified Kneser-Ney bigram scores from memory-mapped sorted hash arrays.
-
-Counting. Tasks turn words into 48-bit hashes, count pairs (previous word, word) in bounded
-buffers and give on one packed block of counts for each range of pair hashes; Spark shuffles
-blocks, not pairs. The task of a range merges its blocks, writes the pair hashes in order with
-their counts to the shared folder, and gives on what each word gathers from the range (its
-count and number of different predecessors, and, as a context, its count and its numbers
-of followers seen once, twice, more often), which are merged alike by ranges of word hashes.
-A pair's range depends on both words, so a very common word is spread over all tasks.
+"""Interpolated modified Kneser-Ney n-gram scores from memory-mapped sorted hash arrays.
+
+Counting. Tasks turn words into 56-bit hashes, count n-grams of the highest order in bounded
+buffers (texts are preceded by order - 1 starts) and give on one packed block of counts for each
+range of n-gram hashes; Spark shuffles blocks, not n-grams. The task of a range merges its
+blocks, writes the hashes in order with their counts to the shared folder, and gives on what
+the n-grams without their first and without their last word gather from it: how many
+different ones end in them and how often, and, as contexts, their count and their numbers of followers
+seen once, twice, more often. These are merged alike, an order at a time, down to words. An
+n-gram's range depends on all its words, so very common words and pairs are spread over all
+tasks. The number of ranges follows the length of the corpus, so a task's share does not grow.
 
 Scoring. Workers map the files into memory, look up the sorted distinct hashes of a batch,
-and compute P(v|u) = max(c(uv) - D, 0) / c(u) + gamma(u) P(v), where P(v) rests on the number of v's
-different predecessors, interpolated with 1 / (V + 1).
+and compute P(w|h) = max(c(hw) - D, 0) / c(h) + gamma(h) P(w|h without its first word), where the lower
+orders count the different words seen before, interpolated at last with 1 / (V + 1).
+
+Words are told apart by 56 bits: among a billion different words about seven pairs are taken
+for one; n-grams by 64 bits.
 """
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +32,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Pairs that a task buffers, and words whose hashes a worker keeps.
+#: Tokens that a task buffers, words whose hashes a worker keeps, and bytes of text to a range.
 BUFFER = 1_000_000
 CACHE_WORDS = 150_000
+RANGE_BYTES = 12_000_000
 START, END = 1, 2
 _U = np.uint64
+_WORD_BITS = 56
 
 
 class WordHashes(dict):
-    """48-bit hashes of words (bytes); START and END are no word's."""
+    """56-bit hashes of words (bytes); START and END are no word's."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = max(3, xxhash.xxh64_intdigest(word) >> 16)
+        h = self[word] = max(3, xxhash.xxh64_intdigest(word) >> 8)
         return h
 
 
@@ -55,14 +63,43 @@ def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return k ^ (k >> _U(29))
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def gram_hash(words: np.ndarray) -> np.ndarray:
+    """Of n-grams given as n rows; the range of a word is that of its top bits."""
+    k = words[0] << _U(64 - _WORD_BITS)
+    for w in words[1:]:
+        k = pair_hash(k, w)
+    return k
+
+
+def windows(docs: list[list[int]], order: int) -> np.ndarray:
+    """The order-gram that ends at each token, as ``order`` rows."""
+    pad = order - 1
+    sizes = np.array([len(d) for d in docs])
+    n = int(sizes.sum())
+    at = np.arange(n) + pad * np.repeat(np.arange(1, len(docs) + 1), sizes)
+    all_words = np.full(n + pad * len(docs), START, _U)
+    all_words[at] = np.fromiter((h for d in docs for h in d), _U, n)
+    return np.stack([all_words[at - pad + i] for i in range(order)])
+
+
+def _pack_words(words: np.ndarray) -> bytes:
+    """n-grams as the different words among them and each place's number there."""
+    known, at = np.unique(words, return_inverse=True)
+    small = len(known) <= 1 << 16
+    raw = known.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _WORD_BITS // 8].tobytes()
+    return np.array([words.shape[1], len(known)], "<u4").tobytes() + raw + at.reshape(words.shape).astype("<u2" if small else "<u4").tobytes()
 
 
-def _unpack48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _unpack_words(raw: bytes, order: int) -> tuple[np.ndarray, int]:
+    """n-grams as ``order`` rows, and where they end."""
+    n, m = map(int, np.frombuffer(raw, "<u4", 2))
+    width = _WORD_BITS // 8
+    known = np.zeros((m, 8), np.uint8)
+    known[:, :width] = np.frombuffer(raw, np.uint8, m * width, 8).reshape(m, width)
+    kind = "<u2" if m <= 1 << 16 else "<u4"
+    at = 8 + m * width
+    numbers = np.frombuffer(raw, kind, n * order, at)
+    return known.view("<u8").ravel()[numbers].reshape(order, n), at + numbers.nbytes
 
 
 def _pack_counts(c: np.ndarray) -> bytes:
@@ -87,45 +124,46 @@ def merged(keys: np.ndarray, *sums: np.ndarray):
     return k[first], order[first], [np.add.reduceat(s[order], first) if len(k) else s[:0] for s in sums]
 
 
-def _ranges(sorted_keys: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of the ranges that sorted keys of ``width`` bits fall in."""
-    at = (sorted_keys >> _U(width - bits)).astype(np.int64)
+def _ranges(sorted_keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the ranges that sorted keys fall in."""
+    at = (sorted_keys >> _U(64 - bits)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
     return [(int(at[a]), int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(at)])]
 
 
-def _count_pairs(batches, bits: int):
+def _blocks(keys: np.ndarray, words: np.ndarray, columns: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
+    """A packed block for each range of sorted keys."""
+    cut = _ranges(keys, bits)
+    return [p for p, _, _ in cut], [_pack_words(words[:, a:b]) + b"".join(_pack_counts(c[a:b]) for c in columns) for _, a, b in cut]
+
+
+def _batch(parts: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
+def _count(batches, bits: int, order: int):
+    """(part, block) of the counts of order-grams."""
     hashes = WordHashes()
-    us: list[list[int]] = []
+    docs: list[list[int]] = []
     held = 0
 
     def flush():
         nonlocal held
-        v = np.fromiter((h for doc in us for h in doc), np.uint64, held)
-        u = np.empty_like(v)
-        u[1:] = v[:-1]
-        ends = np.cumsum([len(d) for d in us])
-        u[0] = START
-        u[ends[:-1]] = START
-        us.clear()
+        words = windows(docs, order)
+        docs.clear()
         held = 0
-        keys, first, (count,) = merged(pair_hash(u, v), np.ones(len(v), np.int64))
-        u, v = u[first], v[first]
-        parts, blocks = [], []
-        for p, a, b in _ranges(keys, bits, 64):
-            parts.append(p)
-            blocks.append(np.array([b - a], "<u4").tobytes() + _pack48(u[a:b]) + _pack48(v[a:b]) + _pack_counts(count[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+        keys, first, (count,) = merged(gram_hash(words), np.ones(words.shape[1], np.int64))
+        return _batch(*_blocks(keys, words[:, first], count[None], bits))
 
     for b in batches:
         for t in b.column(0).to_pylist():
-            us.append(tokens_of(t, hashes))
-            held += len(us[-1])
+            docs.append(tokens_of(t, hashes))
+            held += len(docs[-1])
             if held >= BUFFER:
                 yield flush()
                 if len(hashes) > CACHE_WORDS:
                     hashes.clear()
-    if us:
+    if docs:
         yield flush()
 
 
@@ -144,8 +182,8 @@ def _by_part(batches):
 
 
 def _write(path: str, *arrays: np.ndarray) -> None:
-    """Whole or not at all: a task that is run again writes the same bytes anew."""
-    tmp = f"{path}.{os.getpid()}.tmp"
+    """Whole or not at all, whoever else writes it: a task that is run again writes the same bytes anew."""
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(tmp, "wb") as f:
         for a in arrays:
             f.write(np.ascontiguousarray(a).tobytes())
@@ -156,49 +194,49 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), len(c), int(c.sum())]
 
 
-def _merge_pairs(batches, folder: str, bits: int):
-    for part, blocks in _by_part(batches):
-        us, vs, cs = [], [], []
-        for raw in blocks:
-            n = int(np.frombuffer(raw, "<u4", 1)[0])
-            us.append(_unpack48(raw[4 : 4 + 6 * n]))
-            vs.append(_unpack48(raw[4 + 6 * n : 4 + 12 * n]))
-            cs.append(_unpack_counts(raw, n, 4 + 12 * n)[0])
-        u, v, c = np.concatenate(us), np.concatenate(vs), np.concatenate(cs)
-        keys, first, (c,) = merged(pair_hash(u, v), c)
-        u, v = u[first], v[first]
-        big = np.flatnonzero(c >= 255)
-        _write(f"{folder}/pairs-{part}", np.array([len(c), len(big)], "<u8"), keys, big.astype("<u8"), c[big].astype("<u8"), np.minimum(c, 255).astype(np.uint8))
-        one = np.ones(len(c), np.int64)
-        w1, _, (total, n1, n2, n3) = merged(u, c, (c == 1) * one, (c == 2) * one, (c >= 3) * one)
-        w2, _, (before, count) = merged(v, one, c)
-        words = np.union1d(w1, w2)
-        table = np.zeros((6, len(words)), np.int64)
-        table[:4, np.searchsorted(words, w1)] = [total, n1, n2, n3]
-        table[4:, np.searchsorted(words, w2)] = [before, count]
-        parts, out = [], []
-        for p, a, b in _ranges(words, bits, 48):
-            parts.append(p)
-            out.append(np.array([b - a], "<u4").tobytes() + _pack48(words[a:b]) + b"".join(map(_pack_counts, table[:, a:b])))
-        stats = _counts_of_counts(c)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *parts], pa.int32()), pa.array([np.array(stats, "<i8").tobytes(), *out], pa.binary())], ["part", "block"])
-
-
-def _merge_words(batches, folder: str, pair_d: np.ndarray):
-    for part, blocks in _by_part(batches):
-        ws, ts = [], []
-        for raw in blocks:
-            n = int(np.frombuffer(raw, "<u4", 1)[0])
-            ws.append(_unpack48(raw[4 : 4 + 6 * n]))
-            at, table = 4 + 6 * n, np.empty((6, n), np.int64)
+def _merge(batches, folder: str, bits: int, size: int, order: int, above: np.ndarray | None):
+    """Writes the files of all ranges of ``size``-grams; yields statistics (part -1 - range) and, down to pairs, blocks.
+
+    Columns are the count alone at the highest order, else total, n1, n2, n3 (as contexts of what
+    is one longer, whose discounts are ``above``), the number of different words before, and the count.
+    """
+    top = size == order
+    for part, raws in _by_part(batches):
+        ws, cs = [], []
+        for raw in raws:
+            w, at = _unpack_words(raw, size)
+            table = np.empty((1 if top else 6, w.shape[1]), np.int64)
             for row in table:
-                row[:], at = _unpack_counts(raw, n, at)
-            ts.append(table)
-        words, _, (total, n1, n2, n3, before, count) = merged(np.concatenate(ws), *np.concatenate(ts, axis=1))
-        rest = np.where(total > 0, (pair_d[1] * n1 + pair_d[2] * n2 + pair_d[3] * n3) / np.maximum(total, 1), 1.0)
-        _write(f"{folder}/words-{part}", np.array([len(words), 0], "<u8"), words, total.astype("<f8"), rest.astype("<f8"), before.astype("<f8"), count.astype("<f8"))
-        stats = _counts_of_counts(before[before > 0]) + [int((count > 0).sum()), int(count.sum())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([stats]).tolist(), pa.list_(pa.int64()))], ["stats"])
+                row[:], at = _unpack_counts(raw, w.shape[1], at)
+            ws.append(w)
+            cs.append(table)
+        raws.clear()
+        words, columns = np.concatenate(ws, axis=1), np.concatenate(cs, axis=1)
+        del ws, cs
+        keys, first, columns = merged(gram_hash(words), *columns)
+        words = words[:, first]
+        path = f"{folder}/{size}-{part}"
+        if top:
+            c = count = columns[0]
+            big = np.flatnonzero(c >= 255)
+            _write(path, np.array([len(c), len(big)], "<u8"), keys, big.astype("<u8"), c[big].astype("<u8"), np.minimum(c, 255).astype(np.uint8))
+        else:
+            total, n1, n2, n3, c, count = columns
+            rest = np.where(total > 0, (above[1] * n1 + above[2] * n2 + above[3] * n3) / np.maximum(total, 1), 1.0)
+            _write(path, np.array([len(c), 0], "<u8"), keys, total.astype("<f8"), rest.astype("<f8"), c.astype("<f8"), count.astype("<f8"))
+        seen = c > 0
+        stats = [*_counts_of_counts(c[seen]), int((count > 0).sum()), int(count.sum())]
+        parts, blocks = [-1 - part], [np.array(stats, "<i8").tobytes()]
+        if size > 1:
+            words, c, count = words[:, seen], c[seen], count[seen]
+            one, none = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
+            both = np.concatenate([words[:-1], words[1:]], axis=1)
+            as_context = [c, (c == 1) * one, (c == 2) * one, (c >= 3) * one, none, none]
+            as_end = [none, none, none, none, one, count]
+            low, at, table = merged(gram_hash(both), *(np.concatenate(x) for x in zip(as_context, as_end)))
+            more = _blocks(low, both[:, at], np.array(table).reshape(6, len(low)), bits)
+            parts, blocks = [*parts, *more[0]], [*blocks, *more[1]]
+        yield _batch(parts, blocks)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -212,32 +250,37 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     folder: str
     bits: int
-    pair_d: np.ndarray
-    word_d: np.ndarray
-    predecessors: int  # different pairs
-    word_rest: float  # mass left to the uniform distribution
-    vocabulary: int
-    tokens: int
-
-    def words(self, keys: np.ndarray) -> np.ndarray:
-        """Count as a context, mass left there, predecessors and count of sorted distinct words."""
+    order: int
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)  # by size of n-gram
+    ranges: dict[int, set[int]] = field(default_factory=dict)  # those that have a file
+    predecessors: int = 0  # different pairs
+    word_rest: float = 1.0  # mass left to the uniform distribution
+    vocabulary: int = 0
+    tokens: int = 0
+
+    def _cuts(self, size: int, keys: np.ndarray):
+        have = self.ranges.get(size, set())
+        return ((f"{self.folder}/{size}-{p}", a, b) for p, a, b in _ranges(keys, self.bits) if p in have)
+
+    def table(self, size: int, keys: np.ndarray) -> np.ndarray:
+        """Count as a context, mass left there, predecessors and count of sorted distinct n-grams below the highest order."""
         out = np.zeros((4, len(keys)))
         out[1] = 1.0
-        for p, a, b in _ranges(keys, self.bits, 48):
-            have, vals = _mapped_words(f"{self.folder}/words-{p}")
+        for path, a, b in self._cuts(size, keys):
+            have, vals = _mapped_table(path)
             at, hit = _found(have, keys[a:b])
             out[:, a:b][:, hit] = vals[:, at]
         return out
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pair hashes."""
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct n-grams of the highest order."""
         out = np.zeros(len(keys), np.int64)
-        for p, a, b in _ranges(keys, self.bits, 64):
-            have, big, big_count, small = _mapped_pairs(f"{self.folder}/pairs-{p}")
+        for path, a, b in self._cuts(self.order, keys):
+            have, big, big_count, small = _mapped_counts(path)
             at, hit = _found(have, keys[a:b])
             c = small[at].astype(np.int64)
             many = np.flatnonzero(c == 255)
-            c[many] = big_count[np.searchsorted(big, at[many].astype(np.uint64))]
+            c[many] = big_count[np.searchsorted(big, at[many].astype(_U))]
             out[a:b][hit] = c
         return out
 
@@ -245,44 +288,49 @@ class Model:
         """n_tokens, n_known, base_score, score of each document's token hashes."""
         sizes = np.array([len(d) for d in docs])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        v = np.fromiter((h for d in docs for h in d), np.uint64, int(sizes.sum()))
-        u = np.empty_like(v)
-        u[1:] = v[:-1]
-        u[starts] = START
-        words, word_at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        ui, vi = word_at[: len(u)], word_at[len(u) :]
-        total, rest, before, count = self.words(words)
-        pairs, pair_at = np.unique(pair_hash(u, v), return_inverse=True)
-        c = self.pairs(pairs)[pair_at]
-        uniform = 1 / (self.vocabulary + 1)
-        p1 = np.maximum(before - self.word_d[np.minimum(before, 3).astype(np.int64)], 0) / max(1, self.predecessors) + self.word_rest * uniform
-        p = np.maximum(c - self.pair_d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[ui] + rest[ui] * p1[vi]
+        words = windows(docs, self.order)
+        n = words.shape[1]
+        keys, at = np.unique(np.concatenate([gram_hash(words[-1:]), gram_hash(words[-2:-1])]), return_inverse=True)
+        total, rest, before, count = self.table(1, keys)[:, at]
+        count = count[:n]
+        below = lambda c, size: np.maximum(c - self.discounts[size][np.minimum(c, 3).astype(np.int64)], 0)
+        p = below(before[:n], 1) / max(1, self.predecessors) + self.word_rest / (self.vocabulary + 1)
+        for size in range(2, self.order + 1):
+            total, rest = total[n:], rest[n:]  # of the contexts
+            own = gram_hash(words[-size:])
+            if size == self.order:
+                keys, at = np.unique(own, return_inverse=True)
+                c = self.counts(keys)[at]
+                p = below(c, size) / np.maximum(total, 1) + rest * p
+            else:
+                keys, at = np.unique(np.concatenate([own, gram_hash(words[-size - 1 : -1])]), return_inverse=True)
+                above, left, before, _ = self.table(size, keys)[:, at]
+                p = below(before[:n], size) / np.maximum(total, 1) + rest * p
+                total, rest = above, left
         base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
         add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no document is empty: each has its end
-        return sizes, add((count > 0)[vi].astype(np.int64)), add(base[vi]), add(np.log10(p))
+        return sizes, add((count > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 _MAPS: dict[str, np.ndarray] = {}
 
 
 def _mapped(path: str) -> np.ndarray:
-    """A model file, mapped into memory once for each worker; one that is not there has no entries."""
+    """A model file, mapped into memory once for each worker; one that is not there is an error."""
     if path not in _MAPS:
-        if not os.path.exists(path):
-            return np.zeros(16, np.uint8)
         if len(_MAPS) > 4096:
             _MAPS.clear()
         _MAPS[path] = np.memmap(path, np.uint8, "r")
     return _MAPS[path]
 
 
-def _mapped_words(path: str):
+def _mapped_table(path: str):
     raw = _mapped(path)
     n = int(raw[:8].view("<u8")[0])
     return raw[16 : 16 + 8 * n].view("<u8"), raw[16 + 8 * n :].view("<f8").reshape(4, n)
 
 
-def _mapped_pairs(path: str):
+def _mapped_counts(path: str):
     raw = _mapped(path)
     n, m = map(int, raw[:16].view("<u8"))
     ends = np.cumsum([16, 8 * n, 8 * m, 8 * m])
@@ -307,27 +355,35 @@ def local_folder(path: str) -> str:
     raise ValueError(f"memory-mapping needs a shared folder that is mounted on all workers; spark.checkpoint.dir is {path}")
 
 
-def train(docs: DataFrame, scratch: Scratch) -> Model:
-    """Counts the texts of docs; a null text is empty (its end alone)."""
-    spark = docs.sparkSession
-    bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    parts = 1 << bits
+def train(docs: DataFrame, scratch: Scratch, order: int = 2, range_bytes: int = RANGE_BYTES) -> Model:
+    """Counts the texts of docs; a null text is empty (its end alone). ``order`` is 2 or more."""
+    if order < 2:
+        raise ValueError(f"an order of {order} has no contexts")
+    text = F.col("text").cast("string").cast("binary")
+    length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = max(4, (int(length) // range_bytes).bit_length())
     folder = local_folder(scratch.path("model"))
     os.makedirs(folder, exist_ok=True)
-    counted = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(lambda bs: _count_pairs(bs, bits), "part int, block binary")
-    dealt = counted.repartition(parts, "part").sortWithinPartitions("part")
-    pairs = scratch.save(dealt.mapInArrow(lambda bs: _merge_pairs(bs, folder, bits), "part int, block binary"), "words")
-    stats = np.sum([np.frombuffer(r.block, "<i8") for r in pairs.filter("part = -1").select("block").collect()], axis=0)  # a row for each range
-    stats = stats if np.ndim(stats) else np.zeros(7, np.int64)
-    pair_d = discounts(*stats[:4].tolist())
-    words = pairs.filter("part >= 0").repartition(parts, "part").sortWithinPartitions("part")
-    rows = words.mapInArrow(lambda bs: _merge_words(bs, folder, pair_d), "stats array<long>").collect()  # a row for each range
-    ws = np.sum([r.stats for r in rows], axis=0) if rows else np.zeros(9, np.int64)
-    scratch.drop(pairs)
-    word_d = discounts(*ws[:4].tolist())
-    found = int(ws[6])
-    rest = float(word_d[1] * ws[0] + word_d[2] * ws[1] + word_d[3] * ws[4]) / found if found else 1.0
-    return Model(folder, bits, pair_d, word_d, found, rest, int(ws[7]), int(ws[8]))
+    model = Model(folder, bits, order)
+    at = docs.select(text).mapInArrow(lambda bs: _count(bs, bits, order), "part int, block binary")
+    above, before = None, None
+    for size in range(order, 0, -1):
+        dealt = at.repartition(1 << bits, "part").sortWithinPartitions("part")
+        merge = lambda bs, size=size, above=above: _merge(bs, folder, bits, size, order, above)
+        done = scratch.save(dealt.mapInArrow(merge, "part int, block binary"), f"order{size}")
+        rows = done.filter("part < 0").collect()  # a row for each range
+        model.ranges[size] = {-1 - r.part for r in rows}
+        stats = np.sum([np.frombuffer(r.block, "<i8") for r in rows], axis=0) if rows else np.zeros(9, np.int64)
+        above = model.discounts[size] = discounts(*stats[:4].tolist())
+        at = done.filter("part >= 0")
+        if before is not None:
+            scratch.drop(before)
+        before = done
+    scratch.drop(before)
+    model.predecessors, model.vocabulary, model.tokens = int(stats[6]), int(stats[7]), int(stats[8])
+    if model.predecessors:
+        model.word_rest = float(above[1] * stats[0] + above[2] * stats[1] + above[3] * stats[4]) / model.predecessors
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -370,11 +426,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def kneser_ney_scores(docs: DataFrame, folds: int = 7, held: int = 2, scratch: Scratch | None = None) -> DataFrame:
+def kneser_ney_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """Scores every row by a model of the rows outside the held-out fold; a null doc_id trains."""
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
-    model = train(docs.filter(fold != held), scratch)
+    model = train(docs.filter(fold != held), scratch, order)
     scored = score_documents(docs, model)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.select("doc_id", (fold == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity"))

@@ -396,40 +396,79 @@ def test_itq_recall_and_components(spark, monkeypatch, block):
     assert got[50].n_links >= 1 and got[50].component_id <= 10
 
 
-def test_op7_kneser_ney(spark, sf, texts):
-    rows = queries.op7_kneser_ney(spark, sf).collect()
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+
+def kneser_ney(tokens, order):
+    """P(word | words before) from the definition; tokens: lists of words with their ends, to learn from."""
+    grams = [None] + [collections.Counter() for _ in range(order)]
+    for w in tokens:
+        w = [b"start\n"] * (order - 1) + w
+        grams[order].update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+    for n in range(order - 1, 0, -1):
+        grams[n].update(g[1:] for g in grams[n + 1])
+    off, total, rest = {}, collections.Counter(), collections.Counter()
+    for n in range(1, order + 1):
+        k = [sum(c == x for c in grams[n].values()) for x in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1])
+        off[n] = [0, *(min(max(x - (x + 1) * y * k[x] / k[x - 1], 0), x) if k[x - 1] else 0.5 for x in (1, 2, 3))]
+        for g, c in grams[n].items():
+            total[n, g[:-1]] += c
+            rest[n, g[:-1]] += off[n][min(c, 3)]
+    types = len({w for t in tokens for w in t})
+
+    def p(gram):
+        n = len(gram)
+        low = p(gram[1:]) if n > 1 else 1 / (types + 1)
+        c, t = grams[n][gram], total[n, gram[:-1]]
+        return (max(c - off[n][min(c, 3)], 0) + rest[n, gram[:-1]] * low) / t if t else low
+
+    return p
+
+
+def check_lm(rows, texts, order):
     tokens = {d: [*t.encode().lower().split(), b"end\n"] for d, t in texts.items()}
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
-    bi, uni = collections.Counter(), collections.Counter()
-    for d, w in tokens.items():
-        if not held[d]:
-            bi.update(zip([b"start\n", *w], w))
-            uni.update(w)
-    total, types, kinds = sum(uni.values()), len(uni), len(bi)
-
-    def discounts(c):
-        n = [sum(x == k for x in c) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [0, *(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))]
-
-    before = collections.Counter(v for _, v in bi)
-    d2, d1 = discounts(list(bi.values())), discounts(list(before.values()))
-    ctx, spread = collections.Counter(), collections.defaultdict(float)
-    for (u, _), c in bi.items():
-        ctx[u] += c
-        spread[u] += d2[min(c, 3)]
-    rest = sum(d1[min(c, 3)] for c in before.values()) / kinds
-
-    def p(u, v):
-        low = max(before[v] - d1[min(before[v], 3)], 0) / kinds + rest / (types + 1)
-        return (max(bi[u, v] - d2[min(bi[u, v], 3)], 0) + spread[u] * low) / ctx[u] if ctx[u] else low
-
+    train = [w for d, w in tokens.items() if not held_out(d)]
+    uni = collections.Counter(x for w in train for x in w)
+    total, types = sum(uni.values()), len(uni)
+    p = kneser_ney(train, order)
+    assert len(rows) == len(texts)
     for r in rows:
         w = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(v in uni for v in w), total)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out(r.doc_id), len(w), sum(v in uni for v in w), total)
         assert r.base_score == pytest.approx(sum(math.log10((uni[v] + 1) / (total + types + 1)) for v in w), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(u, v)) for u, v in zip([b"start\n", *w], w)), rel=1e-9)
-    assert sum(p(b"the", v) for v in uni) + p(b"the", b"never seen") == pytest.approx(1)
+        padded = [b"start\n"] * (order - 1) + w
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(w))), rel=1e-9)
+    for context in [(b"the",) * (order - 1), (b"of",) + (b"the",) * (order - 2), (b"start\n",) * (order - 1)]:
+        assert sum(p((*context, v)) for v in uni) + p((*context, b"never seen")) == pytest.approx(1)
+
+
+def test_op7_kneser_ney(spark, sf, texts):
+    check_lm(queries.op7_kneser_ney(spark, sf).collect(), texts, 2)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_models_of_higher_order(spark, sf, texts, order, monkeypatch):
+    from ledgerlens.llm import lm
+
+    monkeypatch.setattr(lm, "BUFFER", 5000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check_lm(lm.kneser_ney_scores(docs, order=order).collect(), texts, order)
+
+
+def test_a_lost_model_file_is_an_error(spark, sf):
+    import glob
+    import os
+
+    from ledgerlens.llm import lm
+    from ledgerlens.llm.common import Scratch
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    model = lm.train(docs, Scratch(spark, "lost"), 2)
+    os.remove(glob.glob(f"{model.folder}/1-*")[0])
+    with pytest.raises(Exception, match="No such file"):
+        lm.score_documents(docs, model).collect()
 
 
 def test_counts_pack_and_unpack():
@@ -438,8 +477,11 @@ def test_counts_pack_and_unpack():
     c = np.array([0, 1, 254, 255, 256, 1 << 40])
     got, end = lm._unpack_counts(b"xy" + lm._pack_counts(c), len(c), 2)
     assert got.tolist() == c.tolist() and end == 2 + 6 + 8 * 3
-    h = np.array([3, (1 << 48) - 1], np.uint64)
-    assert lm._unpack48(lm._pack48(h)).tolist() == h.tolist()
+    for m in (2, 70000):
+        w = (np.arange(3 * m, dtype=np.uint64) * np.uint64(7919) % np.uint64(1 << 56)).reshape(3, m)
+        raw = lm._pack_words(w) + b"rest"
+        got, end = lm._unpack_words(raw, 3)
+        assert (got == w).all() and raw[end:] == b"rest"
 
 
 def test_op3_bin_slack(spark, sf, texts):
