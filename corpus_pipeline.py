@@ -1,7 +1,11 @@
 """Corpus pipeline: quality filter, near-duplicates, personal data, mixing and packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept;
-all but the last return the columns of documents.
+all but the last return the columns of documents, others that docs has included.
+
+Nulls in any column are let through: a null or empty text is judged, compared, mixed and packed as
+an empty one, a row without doc_id is no copy of another. Repeated rows are judged alike; of those
+with one doc_id the near-copies stage keeps one. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import mixing, packing, pii, quality, simhash
-from ledgerlens.llm.common import Scratch, read
+from ledgerlens.llm.common import Scratch, read, temporary
 from ledgerlens.llm.queries import vocabulary_path
 
 
@@ -58,5 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary():
+            done = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

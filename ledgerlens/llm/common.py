@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,15 @@ _OWN_DIRS: dict[int, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) is a folder of our own made.
+    Only where the session names none and all runs on one machine (local tests) is a folder of
+    our own made; on a cluster executors would not see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"intermediate tables need a folder that all nodes share: set spark.checkpoint.dir (master: {master})")
     key = id(spark.sparkContext)
     if key not in _OWN_DIRS:
         _OWN_DIRS[key] = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
@@ -48,7 +53,7 @@ def shuffles_removed(spark: SparkSession):
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive lost executors.
 
-    They are removed by ``drop`` or, at the latest, when the driver ends.
+    They are removed by ``drop``, at the end of ``temporary`` or, at the latest, when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -56,6 +61,8 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         atexit.register(self._clean)
+        if _OPEN:
+            _OPEN[-1].append(self)
 
     def path(self, name: str = "t") -> str:
         self._n += 1
@@ -75,6 +82,7 @@ class Scratch:
             delete_path(self.spark, path)
 
     def _clean(self) -> None:
+        atexit.unregister(self._clean)
         try:
             if self.spark.sparkContext._jsc is not None:
                 delete_path(self.spark, self.base)
@@ -82,6 +90,20 @@ class Scratch:
             pass
 
 
+_OPEN: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """Scratch tables that are made inside go when it ends: what is left must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for scratch in _OPEN.pop():
+            scratch._clean()
+
+
 def with_rank(df: DataFrame, by: list[str], order: list[Column], out: str, salts: int = 256) -> DataFrame:
     """0-based gapless rank of each row within ``by`` without one task per group.
 
