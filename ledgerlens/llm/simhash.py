@@ -43,7 +43,10 @@ def words_of(text: str | None) -> list[str]:
 
 def text_fingerprint(text: str | None, shingle: int = 4) -> int:
     """The unsigned 64-bit fingerprint; 0 where the text is null or has no word."""
-    words = words_of(text)
+    return fingerprint_of(words_of(text), shingle)
+
+
+def fingerprint_of(words: list[str], shingle: int) -> int:
     n = len(words) - shingle + 1
     if not words:
         return 0
@@ -149,9 +152,10 @@ def simhash_links(classes: DataFrame, radius: int = 4, segments: int = 7, pivots
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links.
 
-    Null or empty texts have fingerprint 0 and link like any other; repeated rows each get
-    a row; rows without doc_id get the component of their fingerprint; an empty table gives
-    an empty result. Other columns of docs are ignored.
+    doc_id is a whole number or names one (it is cast to long). Null or empty texts have
+    fingerprint 0 and link like any other; repeated rows each get a row; rows without doc_id get
+    the component of their fingerprint; an empty table gives an empty result. Other columns of
+    docs are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "simhash")
@@ -193,7 +197,10 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted hashes of the different shingles; no word: a single 0."""
-    words = words_of(text)
+    return shingles_of(words_of(text), shingle)
+
+
+def shingles_of(words: list[str], shingle: int) -> np.ndarray:
     if not words:
         return np.zeros(1, np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -269,31 +276,39 @@ def _verify(table: pa.Table, shingle: int, similarity: float) -> dict | None:
     return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
 
 
-def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = LANES, bands: int = BANDS, rows: int = BAND_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, component_id) over links of texts whose shingle sets have that Jaccard similarity.
+def wide_prints(docs: DataFrame, shingle: int, lanes: int = LANES, bands: int = BANDS, rows: int = BAND_ROWS, narrow: int = 4) -> DataFrame:
+    """(doc_id, fp, key, f0 ..., cells): both fingerprints of a text, a digest of its shingle set, and its bands.
 
-    Candidates agree on one of ``bands`` bands of ``rows`` least hashes (at Jaccard 0.8 all pairs
-    but one in ten thousand do) and lie within ``wide_radius(similarity)`` bits. Both only make
-    groups, in which every pair that may still be linked is verified by its shingles.
+    fp is that of ``narrow``-word shingles, as ``fingerprints`` has it.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "wide")
-    radius = wide_radius(similarity, lanes)
     ids = docs.schema["doc_id"].dataType.simpleString()
     parts = [f"f{k}" for k in range(lanes)]
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
-    def prints(batches):
+    def work(batches):
         for b in batches:
-            keys, wide, cells = [], np.empty((b.num_rows, lanes), np.uint64), np.empty((b.num_rows, bands), np.uint64)
+            n = b.num_rows
+            keys, fps, wide, cells = [], np.empty(n, np.uint64), np.empty((n, lanes), np.uint64), np.empty((n, bands), np.uint64)
             for i, t in enumerate(b.column(1)):
-                hashes = shingle_set(t.as_py(), shingle)
+                words = words_of(t.as_py())
+                hashes = shingles_of(words, shingle)
                 keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                wide[i], cells[i] = _wide_bits(hashes, lanes), _band_keys(hashes, bands, rows)
+                fps[i], wide[i], cells[i] = fingerprint_of(words, narrow), _wide_bits(hashes, lanes), _band_keys(hashes, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, bands), pa.int32()), pa.array(cells.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(lanes)), lists], ["doc_id", "key", *parts, "cells"])
+            lanes_of = (pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(lanes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(keys, pa.binary()), *lanes_of, lists], ["doc_id", "fp", "key", *parts, "cells"])
 
-    made = scratch.save(texts.mapInArrow(prints, f"doc_id {ids}, key binary, {', '.join(f'{c} long' for c in parts)}, cells array<long>"), "prints")
-    classes = scratch.save(made.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in (*parts, "cells"))), "classes")
+    kinds = f"doc_id {ids}, fp long, key binary, {', '.join(f'{c} long' for c in parts)}, cells array<long>"
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(work, kinds)
+
+
+def wide_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, scratch: Scratch, lanes: int = LANES) -> DataFrame:
+    """Edges (u, v) that connect the reps of classes(key, rep, f0 ..., cells) as links of that Jaccard similarity do.
+
+    Candidates agree on a band of least hashes and lie within ``wide_radius(similarity)`` bits.
+    Both only make groups, in which every pair that may still be linked is verified by its shingles.
+    """
+    radius = wide_radius(similarity, lanes)
+    parts = [f"f{k}" for k in range(lanes)]
     pivots = np.array([[xxhash.xxh64_intdigest(f"pivot {i} {k}", seed=SEED) for k in range(lanes)] for i in range(8)], np.uint64)
     keyed = classes.filter("rep is not null").select("rep", *parts, F.explode("cells").alias("cell"))
     met = dealt_whole(keyed, "cell", "rep", BLOCK, scratch)
@@ -319,10 +334,27 @@ def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
                 yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["u", "v"])
 
     groups = connected_components(met.mapInArrow(links, "u long, v long"), scratch)
-    held = texts.join(groups, F.col("doc_id").cast("long") == F.col("node")).select(F.col("node").alias("rep"), "component", "text")
+    held = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(groups, "node")
+    held = held.select(F.col("node").alias("rep"), "component", "text")
     held = dealt_cells(scratch.save(held, "held"), "component", "rep", VERIFY_BLOCK)
-    exact = held.mapInArrow(lambda batches: each_unit(batches, "component", lambda t: _verify(t, shingle, similarity)), "u long, v long")
-    comps = connected_components(exact, scratch)
+    return scratch.save(held.mapInArrow(lambda batches: each_unit(batches, "component", lambda t: _verify(t, shingle, similarity)), "u long, v long"), "exact")
+
+
+def _wide_classes(made: DataFrame, lanes: int = LANES) -> DataFrame:
+    return made.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in (*(f"f{k}" for k in range(lanes)), "cells")))
+
+
+def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, component_id) over links of texts whose shingle sets have that Jaccard similarity.
+
+    At Jaccard 0.8 all pairs but one in ten thousand are candidates. doc_id is cast to long.
+    Null and empty texts are alike; repeated rows each get a row; rows without doc_id get the
+    component of their shingle set; an empty table gives an empty result; other columns are ignored.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "wide")
+    made = scratch.save(wide_prints(docs, shingle), "prints")
+    classes = scratch.save(_wide_classes(made), "classes")
+    comps = connected_components(wide_links(docs, classes, shingle, similarity, scratch), scratch)
     named = classes.join(comps, classes.rep == comps.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return made.join(named, "key").select("doc_id", "component_id")
 
@@ -331,31 +363,52 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs with one document of each group(doc_id, component_id): the one whose doc_id is the component's.
+def without_copies(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs without the rows whose doc_id is in copies(doc_id), one row for each doc_id.
 
-    Of repeated rows with that doc_id one stays. Rows without doc_id stay.
+    Of rows that repeat a doc_id any one stays. Rows without doc_id stay.
     """
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_anti")
-    first = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(first).union(docs.filter("doc_id is null")).select(*docs.columns)
+    twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    twice = scratch.save(twice, "twice")
+    # no hints: the planner knows the sizes of the written tables
+    kept = docs.join(copies, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def _copies(edges: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id) of all but the least document of each component; doc_id as in ids."""
+    comps = connected_components(edges, scratch)
+    kind = ids.schema["doc_id"].dataType
+    return scratch.save(comps.filter("node <> component").select(F.col("node").cast(kind).alias("doc_id")), "copies")
+
+
+def _members(made: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Edges from every document to the rep of its class."""
+    return made.select(F.col("doc_id").cast("long").alias("u"), key).join(classes.select(key, F.col("rep").alias("v")), key).select("u", "v")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group of ``simhash_groups``."""
-    return keep_first(docs, simhash_groups(docs.select("doc_id", "text"), shingle, radius))
+    """One document of each group of ``simhash_groups``, that with the least doc_id; odd rows as in ``near_copy_dedup``."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    made = scratch.save(fingerprints(docs.select("doc_id", "text"), shingle), "prints")
+    classes = scratch.save(made.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "classes")
+    return without_copies(docs, _copies(_members(made, classes, "fp").union(simhash_links(classes, radius)), docs, scratch), scratch)
 
 
 def near_copy_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """One document of each group that links of either kind make: fingerprints of 4-word
-    shingles within ``radius`` bits, shingle sets of ``shingle`` words of Jaccard ``similarity``."""
+    """One document of each group that links of either kind make, that with the least doc_id: fingerprints
+    of 4-word shingles within ``radius`` bits, shingle sets of ``shingle`` words of Jaccard ``similarity``.
+
+    Null and empty texts are alike and copies of each other; of rows that repeat a doc_id one stays;
+    rows without doc_id stay; an empty table gives an empty result; other columns, whatever
+    their names, are handed on.
+    """
     scratch = Scratch(docs.sparkSession, "neardup")
     texts = docs.select("doc_id", "text")
-    edges = simhash_groups(texts, 4, radius, scratch).select(F.col("doc_id").cast("long").alias("u"), F.col("component_id").alias("v")).filter("u <> v")
-    edges = edges.union(wide_groups(texts, shingle, similarity, scratch=scratch).select(F.col("doc_id").cast("long").alias("u"), F.col("component_id").alias("v")).filter("u <> v"))
-    comps = connected_components(edges, scratch)
-    copies = scratch.save(comps.filter("node <> component").select(F.col("node").alias("doc_id")), "copies")
-    return keep_first(docs, docs.select("doc_id").join(copies, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id")))
+    made = scratch.save(wide_prints(texts, shingle, narrow=4), "prints")
+    wide = scratch.save(_wide_classes(made), "wide")
+    narrow = scratch.save(made.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "narrow")
+    edges = _members(made, wide, "key").union(_members(made, narrow, "fp")).union(simhash_links(narrow, radius)).union(wide_links(texts, wide, shingle, similarity, scratch))
+    return without_copies(docs, _copies(edges, docs, scratch), scratch)
