@@ -223,7 +223,7 @@ def _merge(batches, folder: str, bits: int, size: int, order: int, above: np.nda
         else:
             total, n1, n2, n3, c, count = columns
             rest = np.where(total > 0, (above[1] * n1 + above[2] * n2 + above[3] * n3) / np.maximum(total, 1), 1.0)
-            _write(path, np.array([len(c), 0], "<u8"), keys, total.astype("<f8"), rest.astype("<f8"), c.astype("<f8"), count.astype("<f8"))
+            _write(path, np.array([len(c), 0], "<u8"), keys, *(x.astype("<f8") for x in (total, rest, c, count)[: 4 if size == 1 else 3]))
         seen = c > 0
         stats = [*_counts_of_counts(c[seen]), int((count > 0).sum()), int(count.sum())]
         parts, blocks = [-1 - part], [np.array(stats, "<i8").tobytes()]
@@ -263,13 +263,13 @@ class Model:
         return ((f"{self.folder}/{size}-{p}", a, b) for p, a, b in _ranges(keys, self.bits) if p in have)
 
     def table(self, size: int, keys: np.ndarray) -> np.ndarray:
-        """Count as a context, mass left there, predecessors and count of sorted distinct n-grams below the highest order."""
+        """Count as a context, mass left there, predecessors and, of words, count of sorted distinct n-grams below the highest order."""
         out = np.zeros((4, len(keys)))
         out[1] = 1.0
         for path, a, b in self._cuts(size, keys):
             have, vals = _mapped_table(path)
             at, hit = _found(have, keys[a:b])
-            out[:, a:b][:, hit] = vals[:, at]
+            out[: len(vals), a:b][:, hit] = vals[:, at]
         return out
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -327,7 +327,7 @@ def _mapped(path: str) -> np.ndarray:
 def _mapped_table(path: str):
     raw = _mapped(path)
     n = int(raw[:8].view("<u8")[0])
-    return raw[16 : 16 + 8 * n].view("<u8"), raw[16 + 8 * n :].view("<f8").reshape(4, n)
+    return raw[16 : 16 + 8 * n].view("<u8"), raw[16 + 8 * n :].view("<f8").reshape(-1, n) if n else np.zeros((0, 0))
 
 
 def _mapped_counts(path: str):
