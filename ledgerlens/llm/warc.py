@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 CRLF = "\r\n"
-#: Transactions in a file at most; a file is read as one row.
+#: Transactions and, unless one alone has more, bytes of payload in a file at most; a file is read as one row.
 FILE_ROWS = 2048
+FILE_BYTES = 1 << 28
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -51,7 +52,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, scratch:
     Of rows with equal payloads of at least min_revisit_bytes the one with the least page_id
     is a response (every row that repeats this page_id is one as well), and others revisit
     it; shorter payloads are responses. A null html is an empty payload; a null url leaves
-    out the target; line breaks in a url become blanks; a null page_id is its own least.
+    out the target; line breaks in a url become blanks; a null page_id is its own least; rows
+    that repeat are records of their own; an empty table gives an empty archive; other columns
+    are ignored. Rows are named by their places in ``pages``, which must come in the same order
+    whenever they are read, as those of a table do.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.col("url").cast("string"), "[\\r\\n]", " ").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -87,7 +91,18 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, scratch:
         F.concat_ws("", F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF))),
     )
     text = F.concat_ws(CRLF * 2, request, response, metadata)
-    met.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_ROWS).option("compression", compression).text(path)
+    # payloads of more than a file's share go to files with fewer records
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    share, most = FILE_BYTES // FILE_ROWS, FILE_ROWS
+    least = -1
+    while True:
+        last = longest <= share
+        some = met.filter(F.octet_length("html") > least) if last else met.filter(F.octet_length("html").between(least + 1, share))
+        writer = some.select(text.alias("value")).write.mode("append").option("lineSep", CRLF * 2)
+        writer.option("maxRecordsPerFile", most).option("compression", compression).text(path)
+        if last:
+            return
+        least, share, most = share, share * 16, max(1, most // 16)
 
 
 def parse_warc(data: memoryview | bytes):
@@ -117,7 +132,10 @@ _RECORD = "record_id string, record_type string, concurrent_to string, refers_to
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of all files under path; digest and length are those of the bytes read."""
+    """One row per record of all files under path; digest and length are those of the bytes read.
+
+    An archive without files or records gives no rows; one that is cut off is an error.
+    """
 
     def work(batches):
         for b in batches:
@@ -154,7 +172,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Requests and metadata are joined to the response or revisit that they are concurrent to;
     where one is missing its struct is null, and those of no capture are left out. A revisit
-    carries in ``original`` the response that it refers to.
+    carries in ``original`` the response that it refers to, null where that is not among the
+    records. Null identifiers meet nothing; a record that comes twice gives its capture twice;
+    no records give no rows.
     """
     part = lambda kind: records.filter(F.col("record_type") == kind).select(F.col("concurrent_to").alias("_to"), F.struct("record_id", "target_uri", "fields").alias(kind))
     extra = ["payload"] if "payload" in records.columns else []
