@@ -58,18 +58,18 @@ def poisson_mix(docs: DataFrame, seed: int = 1, by: str = "source", epochs: floa
     Documents that draw 0 go: that is what the rates ask for. Null sources are a source of
     their own, null texts have no characters, repeated rows draw alike, a null doc_id draws
     like an empty one; an empty table gives an empty result. Columns of docs with the names
-    of added ones are replaced.
+    of added ones (OWN) are replaced, all others are handed on, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     rates = scratch.save(source_rates(docs, by, epochs, temper, weights).select("_by", "rate", poisson_cdf(F.col("rate")).alias("_cdf")), "rates")
-    kept = docs.select([c for c in docs.columns if c not in OWN])
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    names = [c for c in docs.columns if c not in OWN]
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(by).alias("_of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
     # no hint: the planner knows the size of the written table and sends it out only below its limit
-    met = kept.join(rates, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_u", uniform(seed, key))
+    met = row.join(rates, F.col("_of").eqNullSafe(F.col("_by"))).withColumn("_u", uniform(seed, F.col("_key")))
     drawn = met.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))).cast("int")).filter("n_copies > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    tag = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key, F.lit("|"), F.col("copy_no").cast("string")).cast("binary")), 1, 16)
-    out = copies.select(*kept.columns, "n_copies", "copy_no", "rate", tag.alias("shuffle_key"))
+    tag = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_key"), F.lit("|"), F.col("copy_no").cast("string")).cast("binary")), 1, 16)
+    out = copies.select(*(F.col(f"_row.`{c}`").alias(c) for c in names), "n_copies", "copy_no", "rate", tag.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -11,6 +11,7 @@ A remainder finds its window by its rank among those of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -34,11 +35,21 @@ def _raw(ids: list[int]) -> bytes:
 class WordCachedTokenizer:
     """Ids of texts as little-endian uint32 bytes, each distinct word tokenized once.
 
-    Only for vocabularies whose normaliser is NFC, white space to blanks, lower case, and
-    whose pre-tokenizer takes the words below one by one; a text with any character outside
-    the plain set, or with a special token's string, goes through the tokenizer whole.
+    Only for vocabularies with the normaliser and pre-tokenizer below, whose words _WORDS finds; a
+    text with any character outside the plain set, or with a special token's string, goes
+    through the tokenizer whole, and so do all texts with any other vocabulary.
     """
 
+    # The parts of the vocabulary file that the expressions below stand for.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
+
     _UNSAFE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž¡¿«»–—‘’“”…]")
     _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\s0-9a-zß-öø-ž]+")
 
@@ -46,11 +57,13 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        parts = json.loads(self.whole.to_str())
+        self.known = parts["normalizer"] == self.NORMALIZER and parts["pre_tokenizer"] == self.PRE_TOKENIZER and parts["post_processor"] is None
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
-        return not self._UNSAFE.search(text) and not any(s in text for s in self.special)
+        return self.known and not self._UNSAFE.search(text) and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.ids) > CACHE_WORDS:
@@ -78,7 +91,11 @@ def tokenizer(path: str) -> WordCachedTokenizer:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, closing_id: int, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): whole windows and the remainder."""
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): whole windows and the remainder.
+
+    A null or empty text is the closing id alone; long texts are cut into as many windows as
+    they fill; repeated rows and null ids are kept; an empty table gives an empty result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     close = np.array([closing_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
@@ -161,7 +178,11 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarr
 
 
 def place(ranked: DataFrame, plan: dict[str, np.ndarray]) -> DataFrame:
-    """Adds sequence_id and offset to pieces with their rank among those of their length."""
+    """Adds sequence_id and offset to pieces with their rank among those of their length.
+
+    Pieces of equal length are told apart by rank alone, so ties and repeats get places of
+    their own; no pieces give no rows; all columns but the rank are handed on.
+    """
     names = [c for c in ranked.columns if c != "rank"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
 

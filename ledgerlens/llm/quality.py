@@ -151,12 +151,17 @@ def fold(doc_id, folds: int = 5):
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Ranker:
-    """Learns from labelled rows outside the held-out fold, at most ``rows`` of them."""
+    """Learns from labelled rows outside the held-out fold, at most ``rows`` of them.
+
+    Labels and texts that are null count as none and empty; where ids repeat, each text counts
+    with each label of its id, ``rows`` of such pairs at most; without rows of both labels all
+    scores are 0.5.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("_y"))
     known = known.filter(fold(F.col("doc_id"), folds) != held)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)
     met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # of TRAIN_ROWS rows at most
-    got = _features_of(met, ["doc_id", "_y"]).orderBy("doc_id", "_y").limit(2 * rows).select("_y", "x").toPandas()
+    got = _features_of(met, ["doc_id", "_y"]).orderBy("doc_id", "_y").limit(rows).select("_y", "x").toPandas()
     return fit(np.array(got["x"].tolist(), np.float64).reshape(-1, FEATURES), got["_y"].to_numpy())
 
 
@@ -180,7 +185,11 @@ def score_documents(docs: DataFrame, ranker: Ranker, folds: int = 5, held: int =
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """docs without the rows that the ranker rejects; all columns and their order stay."""
+    """docs without the rows that the ranker rejects; all columns, whatever their names, and their order stay.
+
+    Null and empty texts have the features 0 and stay or go together; repeated rows too; rows
+    without doc_id are judged by their texts; an empty table gives an empty result.
+    """
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_t"))
     schema = inner.select("_row").schema
 

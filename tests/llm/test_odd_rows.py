@@ -73,6 +73,66 @@ def test_odd_pages(spark):
     assert {r.record_type for r in warc.warc_round_trip(pages.filter("page_id in (1, 2)"), min_revisit_bytes=2).collect()} == {"response"}
 
 
+def test_names_of_columns_that_operators_use_inside(spark):
+    names = ["_by", "_cdf", "_u", "_row", "_t", "_n", "_key", "_spans", "rate", "x y", "key", "rep"]
+    rows = [(i, f"a plain text number {i}", "s", *range(len(names))) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for f in (mixing.poisson_mix, lambda d: quality.keep_good(d, ranker()), pii.sanitise, simhash.near_copy_dedup):
+        out = f(docs)
+        assert set(docs.columns) - {"rate"} <= set(out.columns) and all(r["_u"] == 2 and r["x y"] == 9 for r in out.collect())
+
+
+def test_vectors_of_repeated_ids_and_other_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, 5), (1, [0.0, 1.0], 1, 6), (2, [0.0, 1.0], 1, 7), (2, [0.0, 1.0], 1, 7), (None, [0.0, 1.0], 1, 8), (3, [0.0, 1.0], 2, 9)]
+    got = embeddings.vector_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, node int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (1, 0, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+def test_archives_of_long_payloads_have_fewer_records(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "FILE_ROWS", 64)
+    pages = spark.createDataFrame([(i, "u", f"{i} " + "y" * (10 if i % 3 else 40000 + i)) for i in range(90)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "a"))
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) >= 31 and max(sizes) < 90000
+    got = warc.assemble(warc.read_records(spark, str(tmp_path / "a"))).collect()
+    assert sorted(r.page_id for r in got) == list(range(90)) and all(r.response.payload_bytes > 10 for r in got)
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerlens.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(fake)
+
+
+def test_temporary_tables_go(spark):
+    import os
+
+    from ledgerlens.llm import common
+
+    with common.temporary():
+        scratch = common.Scratch(spark, "gone")
+        scratch.save(spark.range(3))
+        assert os.path.isdir(lm.local_folder(scratch.base))
+    assert not os.path.exists(lm.local_folder(scratch.base))
+
+
+def test_other_vocabularies_go_through_their_own_tokenizer():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path("byte_bpe_50k.json")
+    texts = ["Plain words, it's 12", " x\n\ny", ""]
+    whole, cached = Tokenizer.from_file(path), packing.WordCachedTokenizer(path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in cached.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.WordCachedTokenizer(queries.vocabulary_path()).known
+
+
 def test_cut_off_archives_are_errors():
     with pytest.raises(ValueError):
         list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"))
