@@ -244,16 +244,17 @@ def term_spans(docs: DataFrame, found: DataFrame, support: int, generalise: floa
     spots = _located(F.col("masked"), _WORD, lambda x: F.map_contains_key(F.col("marks"), F.lower(x)))
     label = lambda s: F.when(F.col("marks")[F.lower(s["value"])] >= remove, F.lit("")).when(s["value"].rlike(r"^\p{Lu}"), F.lit("<NAME>")).otherwise(F.lit("<TERM>"))
     spans = F.transform(spots, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
-    held = private.select("text_key", "masked")
+    located = lambda held, marks: held.join(marks, "text_key").select("text_key", spans.alias("terms"))
+    out = located(private.select("text_key", "masked"), marks)
     if n := open_terms.count():
         texts = _texts(docs)
         words = texts.select("text_key", F.explode(_words(F.col("text"))).alias("term")).filter(bitmap(open_terms, "term", n)(F.col("term"))).distinct()
         seen = words.join(open_terms, "term").join(private.select("text_key"), "text_key", "left_anti")
         seen = scratch.save(seen.select("text_key", "term", "share"), "seen")
-        marks = marks.union(grouped(seen))
         met = seen.select("text_key").distinct()
-        held = held.union(texts.filter(bitmap(met, "text_key", met.count())(F.col("text_key"))).groupBy("text_key").agg(F.first("text").alias("masked")))
-    return held.join(marks, "text_key").select("text_key", spans.alias("terms"))
+        held = texts.filter(bitmap(met, "text_key", met.count())(F.col("text_key"))).groupBy("text_key").agg(F.first("text").alias("masked"))
+        out = out.union(located(held, grouped(seen)))
+    return out
 
 
 def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.98, scratch: Scratch | None = None) -> DataFrame:
