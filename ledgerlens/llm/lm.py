@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Tokens that a task buffers, words whose hashes a worker keeps, and bytes of text to a range.
+#: Tokens that a task buffers to count and to score, words whose hashes a worker keeps, and bytes of text to a range.
 BUFFER = 1_000_000
+SCORE_BUFFER = 500_000
 CACHE_WORDS = 150_000
 RANGE_BYTES = 12_000_000
 START, END = 1, 2
@@ -368,7 +369,7 @@ def train(docs: DataFrame, scratch: Scratch, order: int = 2, range_bytes: int =
     at = docs.select(text).mapInArrow(lambda bs: _count(bs, bits, order), "part int, block binary")
     above, before = None, None
     for size in range(order, 0, -1):
-        dealt = at.repartition(1 << bits, "part").sortWithinPartitions("part")
+        dealt = at.repartitionById(1 << bits, "part").sortWithinPartitions("part")  # a range to each task
         merge = lambda bs, size=size, above=above: _merge(bs, folder, bits, size, order, above)
         done = scratch.save(dealt.mapInArrow(merge, "part int, block binary"), f"order{size}")
         rows = done.filter("part < 0").collect()  # a row for each range
@@ -412,7 +413,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 held.append(tokens_of(t, hashes))
                 size += len(held[-1])
-                if size >= BUFFER:
+                if size >= SCORE_BUFFER:
                     ids.append(b.column(0).slice(done, i + 1 - done))
                     done, size = i + 1, 0
                     yield flush()
