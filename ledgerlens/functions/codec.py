@@ -154,3 +154,8 @@ def next_power_of_two(n: Column) -> Column:
 
 def majority_of(n: Column) -> Column:
     return F.shiftright(n, 1) + 1
+
+
+def regexp_escape(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.regexp_replace(text, r"([-/\\^$*+?.()|\[\]{}])", r"\\$1")

@@ -8,22 +8,54 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import codec
 
 
+class RangeError(ValueError):
+    """A range that the log does not hold."""
+
+
 def get_entry(log: DataFrame, index: int) -> DataFrame:
     return log.filter(F.col("log_index") == index)
 
 
-def get_entries(log: DataFrame, first: int, last: int) -> DataFrame:
-    """Inclusive range; nothing where last < first."""
+def _range(log: DataFrame, first: int, last: int) -> DataFrame:
     return log.filter(F.col("log_index").between(first, last))
 
 
+def get_entries(log: DataFrame, first: int, last: int, first_index: int | None = None, last_index: int | None = None) -> DataFrame:
+    """Inclusive range in log order; nothing where last < first.
+
+    Where the bounds of the log are given, a range that reaches beyond them is an error.
+    """
+    if last_index is not None and last > last_index:
+        raise RangeError(f"{last} is beyond the last index {last_index}")
+    if first_index is not None and first <= last and first < first_index:
+        raise RangeError(f"{first} is before the first index {first_index}")
+    return _range(log, first, last).orderBy("log_index")
+
+
 def read_entries(log: DataFrame, prev_index: int, count: int | None = None, upper: int | None = None) -> DataFrame:
-    """Entries after prev_index: indexes are dense, so a limit is a range and reaches the scan."""
+    """Entries after prev_index in log order: indexes are dense, so a limit is a range and reaches the scan."""
     last = [x for x in (upper, prev_index + count if count is not None and count > 0 else None) if x is not None]
     if count == 0:
         return log.filter(F.lit(False))
     out = log.filter(F.col("log_index") > prev_index)
-    return out.filter(F.col("log_index") <= min(last)) if last else out
+    return (out.filter(F.col("log_index") <= min(last)) if last else out).orderBy("log_index")
+
+
+def verified(entries: DataFrame, prev_index: int, prev_term: int | None = None) -> DataFrame:
+    """entries, of which reading one fails that does not follow its predecessor (dense indexes, terms that don't fall).
+
+    The predecessor comes by a self-join, that of the first is prev_index with prev_term.
+    """
+    at = entries.alias("a")
+    before = entries.select((F.col("log_index") + 1).alias("_i"), F.col("term").alias("_t"))
+    met = at.join(before, F.col("a.log_index") == F.col("_i"), "left")
+    first = F.col("a.log_index") == prev_index + 1
+    gap = F.col("_i").isNull() & ~first
+    falls = F.col("a.term") < F.coalesce("_t", F.when(first, F.lit(prev_term).cast("bigint")))
+    said = F.concat(F.lit("entries out of order at "), F.col("a.log_index").cast("string"))
+    wrong = F.coalesce(gap | falls, F.lit(False))
+    index = F.when(wrong, F.raise_error(said).cast("bigint")).otherwise(F.col("a.log_index"))
+    return met.select(*(index.alias(c) if c == "log_index" else F.col(f"a.`{c}`") for c in entries.columns))
 
 
 def running_size(log: DataFrame, block: int = 1024) -> DataFrame:
@@ -44,13 +76,13 @@ def read_budget(log: DataFrame, first: int, last: int, budget: int) -> DataFrame
 
     Entries hold at least one byte, so no more than ``budget`` of them can fit.
     """
-    part = get_entries(log, first, min(last, first + max(budget, 1)))
+    part = _range(log, first, min(last, first + max(budget, 1)))
     return running_size(part).filter((F.col("running_bytes") <= budget) | (F.col("log_index") == first))
 
 
 def count_fitting(log: DataFrame, first: int, budget: int) -> DataFrame:
     """One row: how many entries from first on fit into the budget (0 if none)."""
-    part = get_entries(log, first, first + max(budget, 1))
+    part = _range(log, first, first + max(budget, 1))
     return running_size(part).filter(F.col("running_bytes") <= budget).agg(F.count(F.lit(1)).alias("fitting"))
 
 

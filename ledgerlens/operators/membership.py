@@ -3,38 +3,67 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters besides letters, digits and ~ that an id keeps in a url.
+_PLAIN = "-_.!*'()"
+
+
 class PeerError(ValueError):
     """A peer list that can't be taken."""
 
 
+def _url_pattern() -> str:
+    """Peers are reached at tcp:// an address that is not the unspecified one, and a port from 1 to 65535."""
+    byte = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = rf"(?:{byte}\.){{3}}{byte}"
+    h = "[0-9A-Fa-f]{1,4}"
+    tails = lambda left: [f"(?:{h}(?::{h}){{0,{6 - left}}})?" if left < 7 else "", *([f"(?:{h}:){{0,{5 - left}}}{v4}"] if left < 6 else [])]
+    heads = lambda left: f"{h}(?::{h}){{{left - 1}}}" if left else ""
+    v6 = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{6}}{v4}", *(f"{heads(left)}::{tail}" for left in range(8) for tail in tails(left))]
+    port = "0*(?:6553[0-5]|655[0-2][0-9]|65[0-4][0-9]{2}|6[0-4][0-9]{3}|[1-5][0-9]{4}|[1-9][0-9]{0,3})"
+    return rf"^tcp://(?:(?!0\.0\.0\.0:){v4}|\[(?!::\])(?:{'|'.join(v6)})\]):{port}$"
+
+
+#: The one rule for urls, in Python and in Spark.
+PEER_URL = _url_pattern()
+
+
 def parse_peer(peer) -> tuple[str, str]:
-    """(id, url) of a url, an (id, url) pair or a mapping with id and url."""
+    """(id, url) of a url, an (id, url) pair or a mapping with id and url; one that is missing is as the other."""
     if isinstance(peer, str):
         pid, url = peer, peer
     elif isinstance(peer, dict):
-        url = peer.get("url")
+        url = peer.get("url", peer.get("id"))
         pid = peer.get("id", url)
     else:
-        pid, url = peer
+        pid, url = peer if len(peer) > 1 else (peer[0], peer[0])
     if not isinstance(pid, str) or not pid or not isinstance(url, str):
         raise PeerError(f"no peer: {peer!r}")
-    at = urlsplit(url)
-    plain = at.scheme == "tcp" and at.hostname and not (at.username or at.path or at.query or at.fragment) and at.hostname not in ("*", "0.0.0.0")
-    try:
-        port = at.port
-    except ValueError:
-        port = None
-    if not plain or not port:
+    if not re.match(PEER_URL, url):
         raise PeerError(f"no url of a peer: {url!r}")
     return pid, url
 
 
+def parse_peer_text(text: str) -> tuple[str, str]:
+    """(id, url) of a url that may be followed by a slash and the id, percent-encoded: what ``format_peer`` gives."""
+    scheme, mark, rest = text.partition("://")
+    host, slash, tail = rest.partition("/")
+    url = scheme + mark + host
+    if slash and not tail:
+        raise PeerError(f"an empty id: {text!r}")
+    return parse_peer((unquote(tail) if slash else url, url))
+
+
+def parse_peer_list(text: str, old: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """Peers of a comma-separated list."""
+    return parse_peers([parse_peer_text(x) for x in re.split(r"\s*,\s*", text.strip())], old)
+
+
 def parse_peers(peers, old: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
     """Peers with unique ids and urls that do not contradict the old ones."""
     out = [parse_peer(p) for p in peers]
@@ -50,7 +79,7 @@ def parse_peers(peers, old: list[tuple[str, str]] | None = None) -> list[tuple[s
 
 
 def url_valid(url: Column) -> Column:
-    return F.coalesce(url.rlike(r"^tcp://(?!\*|0\.0\.0\.0)[A-Za-z0-9.\[\]:-]+:[1-9][0-9]{0,4}$"), F.lit(False))
+    return F.coalesce(url.rlike(PEER_URL), F.lit(False))
 
 
 def join_configuration(present: list[tuple[str, str]], wanted, in_transition: bool = False) -> dict | None:
@@ -64,7 +93,24 @@ def join_configuration(present: list[tuple[str, str]], wanted, in_transition: bo
 
 
 def format_peer(pid: str, url: str) -> str:
-    return url if pid == url else f"{url}?id={re.sub(r'[^A-Za-z0-9._~-]', lambda m: ''.join(f'%{b:02X}' for b in m[0].encode()), pid)}"
+    return url if pid == url else f"{url}/{quote(pid, safe=_PLAIN)}"
+
+
+def peer_text(pid: Column, url: Column) -> Column:
+    """``format_peer`` as an expression."""
+    encoded = F.regexp_replace(F.url_encode(pid), r"\+", "%20")
+    for c in _PLAIN.replace("-_.*", "") + "~":
+        encoded = F.regexp_replace(encoded, f"%{ord(c):02X}", c)
+    return F.when(pid == url, url).otherwise(F.concat(url, F.lit("/"), encoded))
+
+
+def peer_of_text(text: Column) -> Column:
+    """struct(peer_id, peer_url) of ``peer_text``, null where the id is empty or the url is none of a peer."""
+    url = F.regexp_extract(text, r"^([^/]*//[^/]*)", 1)
+    tail = F.regexp_extract(text, r"^[^/]*//[^/]*/(.*)$", 1)
+    named = text.rlike(r"^[^/]*//[^/]*/")
+    pid = F.when(named, F.url_decode(F.regexp_replace(tail, r"\+", "%2B"))).otherwise(url)
+    return F.when(url_valid(url) & (pid != ""), F.struct(pid.alias("peer_id"), url.alias("peer_url")))
 
 
 def diff(peers: DataFrame, by: list[str]) -> DataFrame:

@@ -115,3 +115,8 @@ def bounced_duplicates(calls: DataFrame) -> DataFrame:
 def correlate(responses: DataFrame, handlers: DataFrame, on: str = "message_id") -> DataFrame:
     """Responses with a waiting handler; others are dropped."""
     return responses.join(handlers, on)
+
+
+def fresh_view(last_applied: Column, last_update: Column) -> Column:
+    """Whether what has been applied holds the reader's own last update."""
+    return F.coalesce(last_applied >= last_update, F.lit(True))

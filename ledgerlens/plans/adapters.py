@@ -70,20 +70,23 @@ VOTES_SQL = "votes as (select (log_index - 1) // 20 as election_term, log_index
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurations: each nation is one, its suppliers the old side, the first of its customers the new."""
+    """25 configurations, by the keys' remainders: suppliers are the old side, customers the new; every third peer has moved."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    url = lambda key: F.concat(F.lit("tcp://10.0.0."), (key.cast("bigint") % 250).cast("string"), F.lit(":8047"))
-    old = s.select(F.col("s_nationkey").alias("config"), F.lit("old").alias("side"), F.col("s_suppkey").alias("peer_id"), url(F.col("s_suppkey")).alias("peer_url"))
-    new = c.filter(F.col("c_custkey") % 10 == 0).select(F.col("c_nationkey").alias("config"), F.lit("new").alias("side"), (F.col("c_custkey") / 10).cast("bigint").alias("peer_id"), url(F.floor(F.col("c_custkey") / 10) + F.col("c_custkey") % 20).alias("peer_url"))
-    return old.unionByName(new)
+
+    def side(t, key, name, moved):
+        host = F.pmod(key + F.when(key % 3 == 0, moved).otherwise(0), F.lit(250))
+        url = F.concat(F.lit("tcp://10.0.0."), host.cast("string"), F.lit(":8047"))
+        return t.select((key % 25).cast("int").alias("config"), F.lit(name).alias("side"), key.alias("peer_id"), url.alias("peer_url"))
+
+    return side(s, F.col("s_suppkey"), "old", 0).unionByName(side(c, F.col("c_custkey"), "new", 1))
 
 
 PEERS_SQL = """
 peers as (
-  select s_nationkey as config, 'old' as side, s_suppkey as peer_id, 'tcp://10.0.0.' || cast(s_suppkey % 250 as varchar) || ':8047' as peer_url from supplier
+  select cast(s_suppkey % 25 as integer) as config, 'old' as side, s_suppkey as peer_id, 'tcp://10.0.0.' || cast(s_suppkey % 250 as varchar) || ':8047' as peer_url from supplier
   union all
-  select c_nationkey, 'new', c_custkey // 10, 'tcp://10.0.0.' || cast((c_custkey // 10 + c_custkey % 20) % 250 as varchar) || ':8047' from customer where c_custkey % 10 = 0)"""
+  select cast(c_custkey % 25 as integer), 'new', c_custkey, 'tcp://10.0.0.' || cast((c_custkey + case when c_custkey % 3 = 0 then 1 else 0 end) % 250 as varchar) || ':8047' from customer)"""
 
 
 def broadcast(spark: SparkSession, sf_dir: str, batch: int = 7) -> DataFrame:

@@ -187,9 +187,9 @@ def same_ids_in_order(s, d):
     return membership.same_in_order(a.peers(s, d).withColumn("ordinal", F.row_number().over(w)), ["config"])
 
 
-@_q("reset_peer_map", "select p.config, p.peer_id, coalesce(m.match_index, 0) as value from (select * from peers where side = 'old') p left join (select user_id as peer_id, max(log_index) as match_index from log where log_index <= 300 group by user_id) m using (peer_id)", _LOG, _PEERS)
+@_q("reset_peer_map", "select p.config, p.peer_id, coalesce(m.match_index, 0) as value from (select * from peers where side = 'old') p left join (select user_id as peer_id, max(log_index) as match_index from log group by user_id) m using (peer_id)", _LOG, _PEERS)
 def reset_peer_map(s, d):
-    log = a.events_log(s, d).filter("log_index <= 300")
+    log = a.events_log(s, d)
     values = log.groupBy(F.col("user_id").alias("peer_id")).agg(F.max("log_index").alias("value"))
     members = a.peers(s, d).filter("side = 'old'").select("config", "peer_id")
     return membership.reset_map(values, members, 0)
@@ -223,9 +223,28 @@ def peer_status(s, d):
     return membership.latest_status(info)
 
 
-@_q("peer_url_check", "select peer_id, peer_url, true as valid from peers", _PEERS)
+#: Shapes of urls around an address and a port, and whether each is a peer's.
+URLS = [("tcp://{a}:{p}", True), ("tcp://{a}:0{p}", True), ("tcp://{a}:7{p}", False), ("tcp://::::1:5", False), ("tcp://0.0.0.0:{p}", False), ("tcp://[::]:{p}", False), ("tcp://[::1]:{p}", True), ("http://{a}:{p}", False), ("tcp://{a}:{p}/x", False)]
+URLS += [("tcp://me@{a}:{p}", False), ("tcp://{a}:0", False), ("tcp://{a}", False), ("tcp://256.{a}:{p}", False), ("tcp://localhost:{p}", False), ("tcp://[fe80::1:{p}]:1", True), ("tcp://[1:2:3:4:5:6:7:8:9]:1", False), ("tcp://[::ffff:{a}]:65535", True), ("tcp://{a}:65536", False), ("tcp://{a}:{p}#x", False)]
+_SHAPES = ", ".join(f"('{u}', {str(ok).lower()})" for u, ok in URLS)
+
+
+@_q("peer_url_check", f", shapes(shape, valid) as (values {_SHAPES}) select peer_id, replace(replace(shape, '{{a}}', '10.0.0.' || cast(peer_id % 250 as varchar)), '{{p}}', '8047') as peer_url, valid from peers, shapes where side = 'new'", _PEERS)
 def peer_url_check(s, d):
-    return a.peers(s, d).select("peer_id", "peer_url", membership.url_valid(F.col("peer_url")).alias("valid"))
+    """Every customer's address in good and bad urls."""
+    host = F.concat(F.lit("10.0.0."), (F.col("peer_id") % 250).cast("string"))
+    shapes = F.explode(F.array(*(F.lit(u) for u, _ in URLS)))
+    p = a.peers(s, d).filter("side = 'new'").select("peer_id", host.alias("host"), shapes.alias("shape"))
+    url = F.replace(F.replace("shape", F.lit("{a}"), F.col("host")), F.lit("{p}"), F.lit("8047"))
+    return p.select("peer_id", url.alias("peer_url")).withColumn("valid", membership.url_valid(F.col("peer_url")))
+
+
+@_q("peer_text_round_trip", "select peer_id, 'node ' || cast(peer_id as varchar) || '/ü+%' as name, peer_url, peer_url || '/node%20' || cast(peer_id as varchar) || '%2F%C3%BC%2B%25' as said, true as same from peers", _PEERS)
+def peer_text_round_trip(s, d):
+    named = a.peers(s, d).withColumn("name", F.concat(F.lit("node "), F.col("peer_id").cast("string"), F.lit("/ü+%")))
+    said = named.withColumn("said", membership.peer_text(F.col("name"), F.col("peer_url")))
+    back = membership.peer_of_text(F.col("said"))
+    return said.select("peer_id", "name", "peer_url", "said", (back == F.struct(F.col("name").alias("peer_id"), F.col("peer_url"))).alias("same"))
 
 
 _HAVE = "coalesce(max(last_index) over (order by arrival rows between unbounded preceding and 1 preceding), 0)"
@@ -260,9 +279,9 @@ def accepted_messages(s, d):
     return feed.accepted_secret(m, b"secret3").select("log_index", "k")
 
 
-@_q("apply_order_errors", "select seq, next_index, expected from (select log_index as seq, next_index, coalesce(lag(next_index + n - 1) over (order by log_index), 0) + 1 as expected from (select log_index, log_index * 2 - 1 + case when k = 7 then 1 else 0 end as next_index, 2 as n from log where log_index <= 500)) where next_index <> expected", _LOG)
+@_q("apply_order_errors", "select seq, next_index, expected from (select log_index as seq, next_index, coalesce(lag(next_index + n - 1) over (order by log_index), 0) + 1 as expected from (select log_index, log_index * 2 - 1 + case when k = 7 then 1 else 0 end as next_index, 2 as n from log)) where next_index <> expected", _LOG)
 def apply_order_errors(s, d):
-    b = a.events_log(s, d).filter("log_index <= 500").select(F.col("log_index").alias("seq"), (F.col("log_index") * 2 - 1 + F.when(F.col("k") == 7, 1).otherwise(0)).alias("next_index"), F.lit(2).alias("n"), F.lit(None).cast("bigint").alias("snapshot_index"))
+    b = a.events_log(s, d).select(F.col("log_index").alias("seq"), (F.col("log_index") * 2 - 1 + F.when(F.col("k") == 7, 1).otherwise(0)).alias("next_index"), F.lit(2).alias("n"), F.lit(None).cast("bigint").alias("snapshot_index"))
     return feed.next_apply_ok(b).select("seq", "next_index", "expected")
 
 
@@ -298,9 +317,13 @@ def quiet_peers(s, d):
     return reports.quiet_peers(pulses)
 
 
-@_q("flood_verified", "select 5 as log_index, 6 as iteration, 4 as before union all select 6, 7, 6 where false")
+_LOST = "log_index % 1000 <> 500"
+
+
+@_q("flood_verified", f"select moved as log_index, iteration, before from (select row_number() over (order by log_index) as moved, log_index as iteration, lag(log_index) over (order by log_index) as before from log where {_LOST}) where iteration <> before + 1", _LOG)
 def flood_verified(s, d):
-    """A made-up load in which one entry has been lost and its successors moved up."""
-    log = reports.flood(s, 50).filter("log_index <> 5")
-    moved = log.withColumn("log_index", F.when(F.col("log_index") > 5, F.col("log_index") - 1).otherwise(F.col("log_index")))
-    return reports.verify_flood(moved).select(F.col("log_index").cast("int").alias("log_index"), F.col("iteration").cast("int").alias("iteration"), F.col("_before").cast("int").alias("before"))
+    """A made-up load as long as the log, of which every thousandth entry has been lost and its successors moved up."""
+    n = a.events_log(s, d).agg(F.max("log_index").alias("n")).first().n
+    i = F.col("log_index")
+    moved = reports.flood(s, n).filter(_LOST).withColumn("log_index", i - F.floor((i + 499) / 1000).cast("bigint"))
+    return reports.verify_flood(moved).select("log_index", "iteration", F.col("_before").alias("before"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import codec
 from ledgerlens.operators import log as ops
 from ledgerlens.operators import replay, requests
+from ledgerlens.sources import files, rlog
 
 from .adapters import CAPACITY, LOG_SQL, NOW_MS, TTL_MS, events_log
 from .registry import register
@@ -86,11 +87,11 @@ def segment_name_round_trip(s, d):
     return named.withColumn("parsed", codec.index_of_path(codec.segment_path(F.col("segment_first_index"))))
 
 
-@_q("segment_floor", "select o_orderkey as wanted, (select max(segment_first_index) from log where segment_first_index <= o_orderkey) as segment from orders where o_orderkey <= 9000")
+@_q("segment_floor", "select o_orderkey as wanted, (select max(segment_first_index) from log where segment_first_index <= o_orderkey) as segment from orders")
 def segment_floor(s, d):
     """Floor lookup: the segment of an index is arithmetic; its existence is an equi-join."""
     have = events_log(s, d).select("segment_first_index").distinct()
-    wanted = s.read.parquet(f"{d}/orders.parquet").filter("o_orderkey <= 9000").select(F.col("o_orderkey").alias("wanted"))
+    wanted = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("wanted"))
     top = have.agg(F.max("segment_first_index").alias("_top"))
     # beyond the last segment the floor is the last one
     at = wanted.join(F.broadcast(top)).withColumn("_at", F.when(F.col("wanted") >= 1, F.least("_top", codec.segment_first_index(F.col("wanted"), CAPACITY))))
@@ -144,10 +145,10 @@ def entry_type_counts(s, d):
     return events_log(s, d).groupBy("entry_type").agg(F.count(F.lit(1)).alias("n"), F.min("log_index").alias("first_index"), F.max("log_index").alias("last_index"), F.sum("entry_size").cast("bigint").alias("bytes"))
 
 
-@_q("segment_includes", f"select log_index, log_index between {CAPACITY} and {2 * CAPACITY - 1} as allowed from log where log_index % 10 = 0")
+@_q("segment_includes", f"select log_index, log_index between {CAPACITY} and {2 * CAPACITY - 1} as allowed from log")
 def segment_includes(s, d):
     lo = CAPACITY
-    return events_log(s, d).filter("log_index % 10 = 0").select("log_index", F.col("log_index").between(lo, 2 * CAPACITY - 1).alias("allowed"))
+    return events_log(s, d).select("log_index", F.col("log_index").between(lo, 2 * CAPACITY - 1).alias("allowed"))
 
 
 @_q("request_expired", f"select log_index, seconds * 1000 < {NOW_MS} - {TTL_MS} as expired from log where entry_type <> 2")
@@ -258,10 +259,11 @@ def term_spans(s, d):
     return ops.term_spans(events_log(s, d))
 
 
-@_q("term_lookup", "select i as index, case when i = 0 then 0 else (select term from log where log_index = i) end as term from (select unnest(generate_series(0, 12000, 7)) as i)")
+@_q("term_lookup", "select i as index, case when i = 0 then 0 else term end as term from (select unnest(generate_series(0, (select max(log_index) + 100 from log))) as i) left join log on log_index = i")
 def term_lookup(s, d):
-    wanted = s.range(0, 12001, 7).select(F.col("id").alias("index"))
-    return ops.term_at(events_log(s, d), wanted, 0, 0)
+    log = events_log(s, d)
+    wanted = s.range(0, ops.bounds(log).first().last_index + 101).select(F.col("id").alias("index"))
+    return ops.term_at(log, wanted, 0, 0)
 
 
 @_q("fold_last_value", "select user_id, k, max(log_index) as log_index, max_by(value, log_index) as value from log where entry_type = 0 group by user_id, k")
@@ -282,9 +284,9 @@ def snapshot_and_tail(s, d):
     return replay.snapshot_and_tail(snap, log.filter("log_index > 700"), ["user_id"], "value")
 
 
-@_q("last_config", "select max(log_index) as log_index from log where entry_type = 1 and log_index <= 5000")
+@_q("last_config", "select max(log_index) as log_index from log where entry_type = 1")
 def last_config(s, d):
-    return events_log(s, d).filter("log_index <= 5000").agg(F.max(F.when(F.col("entry_type") == codec.CONFIG, F.col("log_index"))).alias("log_index"))
+    return events_log(s, d).agg(F.max(F.when(F.col("entry_type") == codec.CONFIG, F.col("log_index"))).alias("log_index"))
 
 
 @_q("user_gaps", "select user_id, log_index, gap from (select user_id, log_index, log_index - lag(log_index) over (partition by user_id order by log_index) as gap from log) where gap > 100")
@@ -303,12 +305,13 @@ def contiguity_errors(s, d):
     return ops.contiguity_errors(events_log(s, d).filter("log_index % 97 <> 0").withColumn("term", term))
 
 
-@_q("append_assigns_indexes", "select log_index, term from log where log_index < 900 union all select 899 + row_number() over (order by event_id), cast(99 as bigint) from events where event_id < 50")
+@_q("append_assigns_indexes", "select log_index, term from log where log_index <= (select max(log_index) - 100 from log) union all select (select max(log_index) - 100 from log) + row_number() over (order by event_id), cast(99 as bigint) from events")
 def append_assigns_indexes(s, d):
-    log = events_log(s, d).select("log_index", "term")
-    last = 1000
-    new = s.read.parquet(f"{d}/events.parquet").filter("event_id < 50").select(F.col("event_id").alias("seq"), F.lit(99).cast("bigint").alias("term"))
-    return ops.append(log.filter(F.col("log_index") <= last), new, last, index=900)
+    """The log once more behind itself, over its last hundred entries."""
+    log = events_log(s, d)
+    last = ops.bounds(log).first().last_index
+    new = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.lit(99).cast("bigint").alias("term"))
+    return ops.append(log.select("log_index", "term"), new, last, index=last - 99)
 
 
 @_q("truncated_log", "select log_index, term from log where log_index < 321")
@@ -316,10 +319,11 @@ def truncated_log(s, d):
     return ops.truncate(events_log(s, d), 321).select("log_index", "term")
 
 
-@_q("snapshot_decisions", "select s.i as log_index, s.t as log_term, case when l.term = s.t then 'keep_tail' else 'discard' end as decision from (select unnest(generate_series(100, 20000, 100)) as i, 3 as t) s left join log l on l.log_index = s.i")
+@_q("snapshot_decisions", "select s.i as log_index, s.t as log_term, case when l.term = s.t then 'keep_tail' else 'discard' end as decision from (select unnest(generate_series(1, (select max(log_index) + 100 from log))) as i, 3 as t) s left join log l on l.log_index = s.i")
 def snapshot_decisions(s, d):
-    snaps = s.range(100, 20001, 100).select(F.col("id").alias("log_index"), F.lit(3).alias("log_term"))
-    return ops.snapshot_decision(events_log(s, d), snaps)
+    log = events_log(s, d)
+    snaps = s.range(1, ops.bounds(log).first().last_index + 101).select(F.col("id").alias("log_index"), F.lit(3).alias("log_term"))
+    return ops.snapshot_decision(log, snaps)
 
 
 @_q("installed_snapshot_tail", "select log_index, term from log where log_index > 400 and exists (select 1 from log where log_index = 400 and term = (select term from log where log_index = 400))")
@@ -348,10 +352,10 @@ def user_iterations(s, d):
     return events_log(s, d).select("user_id", "log_index", (F.col("k") - F.lag("k").over(w) == 1).alias("follows"))
 
 
-@_q("power_of_two", "select log_index, log_index & (log_index - 1) = 0 as is_power, cast(pow(2, ceil(log2(log_index))) as bigint) as next_power, log_index // 2 + 1 as majority from log where log_index <= 1100")
+@_q("power_of_two", "select log_index, log_index & (log_index - 1) = 0 as is_power, cast(pow(2, ceil(log2(log_index))) as bigint) as next_power, log_index // 2 + 1 as majority from log")
 def power_of_two(s, d):
     n = F.col("log_index")
-    return events_log(s, d).filter("log_index <= 1100").select("log_index", codec.is_power_of_two(n).alias("is_power"), codec.next_power_of_two(n).alias("next_power"), codec.majority_of(n).alias("majority"))
+    return events_log(s, d).select("log_index", codec.is_power_of_two(n).alias("is_power"), codec.next_power_of_two(n).alias("next_power"), codec.majority_of(n).alias("majority"))
 
 
 @_q("flag_decode", "select log_index, k % 5 <> 0 as flag from log")
@@ -371,3 +375,56 @@ def visible_entries(s, d):
 
     log = events_log(s, d).select("log_index", "term")
     return feed.visible(log, ops.bounds(log.withColumn("entry_size", F.lit(1))).first().last_index - 100)
+
+
+def _stored(s, d, name: str) -> str:
+    """The log written to segment files, in a folder of its own for each query."""
+    log = events_log(s, d)
+    path = files.work_folder(s, name)
+    rlog.write_log(log.select("log_index", "term", "entry_type", "request_id", "data"), path, CAPACITY)
+    return path
+
+
+@_q("stored_log", "select log_index, term, entry_type, rid, cast(props as varchar) as data, entry_size, segment_first_index from log")
+def stored_log(s, d):
+    """Written to segment files and read back."""
+    return rlog.read_log(s, _stored(s, d, "stored_log")).select("log_index", "term", "entry_type", _rid().alias("rid"), F.col("data").cast("string").alias("data"), "entry_size", "segment_first_index")
+
+
+@_q("stored_range", "select log_index, term, entry_size, cast(sum(entry_size) over (partition by segment_first_index order by log_index) - entry_size as bigint) as byte_offset from log qualify log_index between 1000 and 1100")
+def stored_range(s, d):
+    """A range over a segment boundary, through the data source's filter pushdown, without payloads."""
+    path = _stored(s, d, "stored_range")
+    log = s.read.format("rlog").option("payload", "false").load(path)
+    return ops.get_entries(log, 1000, 1100, first_index=1).select("log_index", "term", "entry_size", "byte_offset")
+
+
+@_q("stored_segments", f"""select segment_first_index, cast(least({CAPACITY}, {CAPACITY} - segment_first_index % {CAPACITY}) as integer) as capacity, cast(count(*) as integer) as entry_count, max(log_index) + 1 as next_index, cast(sum(entry_size) as bigint) as data_size
+ from log group by segment_first_index""")
+def stored_segments(s, d):
+    """What the files' own headers and offset tables say."""
+    return rlog.inspect_segments(s, _stored(s, d, "stored_segments")).select("segment_first_index", "capacity", "entry_count", "next_index", "data_size")
+
+
+@_q("stored_log_bounds", "select min(log_index) as first_index, max(log_index) as last_index, max_by(term, log_index) as last_term, count(*) as entries, cast(sum(entry_size) as bigint) as bytes from log")
+def stored_log_bounds(s, d):
+    return ops.bounds(rlog.read_log(s, _stored(s, d, "stored_log_bounds"), payload=False))
+
+
+@_q("stored_tail", "select log_index, term from log where log_index > 500")
+def stored_tail(s, d):
+    """Read on from a known entry, every entry checked against its predecessor."""
+    log = rlog.read_log(s, _stored(s, d, "stored_tail"), first=501, payload=False).select("log_index", "term")
+    return ops.verified(log, 500)
+
+
+@_q("fresh_view", "select log_index, log_index <= 500 as fresh from log")
+def fresh_view(s, d):
+    """Whether a view that has applied 500 entries is fresh for a reader who last wrote at each index."""
+    return events_log(s, d).select("log_index", requests.fresh_view(F.lit(500), F.col("log_index")).alias("fresh"))
+
+
+@_q("escaped_patterns", "select log_index, regexp_replace(props, '([-/\\\\^$*+?.()|\\[\\]{}])', '\\\\\\1', 'g') as pattern, true as found from log")
+def escaped_patterns(s, d):
+    pattern = codec.regexp_escape(F.col("data").cast("string"))
+    return events_log(s, d).select("log_index", pattern.alias("pattern"), F.rlike(F.col("data").cast("string"), F.concat(F.lit("^"), pattern, F.lit("$"))).alias("found"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
 import tomllib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,3 +140,21 @@ def read_config(path: str, namespace: str | None = None) -> dict:
         else:
             raise KeyError(namespace)
     return out
+
+
+def work_folder(spark, name: str) -> str:
+    """A new folder of the driver's session that all nodes see: under spark.checkpoint.dir, or, on one machine, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        if "://" in shared and not shared.startswith("file:"):
+            raise ValueError(f"segment files need a folder that all nodes mount; spark.checkpoint.dir is {shared}")
+        root = "/" + shared.removeprefix("file:").lstrip("/")
+    elif spark.sparkContext.master.split("[")[0] == "local":
+        root = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    else:
+        raise ValueError("segment files need a folder that all nodes mount: set spark.checkpoint.dir")
+    path = os.path.join(root, "ledgerlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    os.makedirs(path)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -192,7 +193,7 @@ class _Writer(DataSourceWriter):
             if [i for i, _ in entries] != list(range(start, start + len(entries))):
                 raise formats.FormatError(f"entries of segment {start} are not dense")
             final = os.path.join(self.root, formats.segment_name(start))
-            tmp = f"{final}.{os.getpid()}.tmp"
+            tmp = f"{final}.{uuid.uuid4().hex}.tmp"
             os.makedirs(os.path.dirname(final), exist_ok=True)
             with open(tmp, "wb") as f:
                 f.write(formats.build_segment(start, [e for _, e in entries], self.capacity, self.meta))

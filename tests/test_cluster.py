@@ -57,6 +57,55 @@ def test_peers():
         membership.join_configuration(a, a)
 
 
+def test_peer_urls_and_texts(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    hosts = ["::1", "::", "1::", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "fe80::1:2:3:4:5:6:7", "1:2:3:4:5:6:1.2.3.4", "::1.2.3", ":1", "1:"]
+    hosts += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128) & ((1 << 128) - (1 << rng.randrange(128))))) for _ in range(300)]
+
+    def fine(h):
+        try:
+            return int(ipaddress.IPv6Address(h)) != 0
+        except ValueError:
+            return False
+
+    urls = [f"tcp://[{h}]:8047" for h in hosts]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", membership.url_valid(F.col("u")).alias("ok")).collect()
+    assert {r.u: r.ok for r in rows} == {u: fine(h) for u, h in zip(urls, hosts)}
+    for u in ("tcp://1.2.3.4:8047", "tcp://[::1]:1"):
+        for pid in (u, "b", "a b/c?#ü+%", "~-_.!*'()"):
+            text = membership.format_peer(pid, u)
+            assert membership.parse_peer_text(text) == (pid, u)
+            r = spark.createDataFrame([(pid, u)], "p string, u string").select(membership.peer_text(F.col("p"), F.col("u")).alias("t"), membership.peer_of_text(F.lit(text)).alias("x")).first()
+            assert r.t == text and tuple(r.x) == (pid, u)
+    assert membership.parse_peer_list("tcp://1.2.3.4:1/a , tcp://1.2.3.4:2") == [("a", "tcp://1.2.3.4:1"), ("tcp://1.2.3.4:2",) * 2]
+    for bad in ("tcp://1.2.3.4:1/", "tcp://h:1/a", "", "tcp://1.2.3.4:1/a,tcp://1.2.3.4:1/a"):
+        with pytest.raises(membership.PeerError):
+            membership.parse_peer_list(bad)
+    assert spark.range(1).select(membership.peer_of_text(F.lit("tcp://1.2.3.4:1/")).alias("x")).first().x is None
+
+
+def test_reads_are_ordered_bounded_and_verified(spark):
+    from ledgerlens.operators import log as ops
+
+    rows = [(i, i // 10) for i in range(1, 200)]
+    log = spark.createDataFrame(rows[::-1], "log_index bigint, term bigint").repartition(5)
+    assert [r.log_index for r in ops.get_entries(log, 20, 90, 1, 199).collect()] == list(range(20, 91))
+    assert [r.log_index for r in ops.read_entries(log, 50, 30).collect()] == list(range(51, 81))
+    assert ops.get_entries(log, 5, 4, 1, 199).count() == 0
+    for a, b in ((5, 200), (0, 9)):
+        with pytest.raises(ops.RangeError):
+            ops.get_entries(log, a, b, 1, 199)
+    assert ops.verified(ops.read_entries(log, 50), 50, 5).count() == 149
+    for wrong in (log.filter("log_index <> 77"), log.withColumn("term", F.expr("if(log_index = 99, 1, term)"))):
+        with pytest.raises(Exception, match="out of order at"):
+            ops.verified(ops.read_entries(wrong, 50), 50).collect()
+    with pytest.raises(Exception, match="out of order at 51"):
+        ops.verified(ops.read_entries(log, 50), 50, 6).collect()
+
+
 def test_ranges():
     assert log.parse_ranges("5,10:20,:3,90:", 1, 100) == [(5, 5), (10, 20), (1, 3), (90, 100)]
     assert log.parse_ranges(":", 1, 9) == [(1, 9)]
