@@ -9,25 +9,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_have(feed: DataFrame, by: list[str], start: int, block: int = 4096) -> DataFrame:
+    """feed + _have: the highest last index before each arrival.
+
+    Highest indexes of blocks of arrival numbers are put in order first (a row a block), so
+    batches are only ordered within their blocks, each in a task of its own.
+    """
+    keyed = feed.withColumn("_block", F.floor(F.col("arrival").cast("double") / block))
+    tops = keyed.groupBy(*by, "_block").agg(F.max("last_index").alias("_top"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tops.withColumn("_before", F.max("_top").over(earlier)).alias("s")
+    inside = Window.partitionBy(*by, "_block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    here = keyed.withColumn("_in", F.max("last_index").over(inside)).alias("f")
+    same = F.lit(True)
+    for c in (*by, "_block"):
+        same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}"))
+    have = F.greatest(F.col("_in"), F.col("_before"), F.lit(start))  # nulls are passed over
+    return here.join(starts, same).select(*(F.col(f"f.{c}") for c in feed.columns), have.alias("_have"))
+
+
 def gap_report(feed: DataFrame, by: list[str], start: int = 0) -> DataFrame:
     """feed + (missing, fresh_entries): entries to fetch before the batch, and its entries that are new.
 
     What a subscriber has is the running maximum of the last indexes, as gaps are repaired.
     """
-    w = Window.partitionBy(*by).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    have = F.greatest(F.coalesce(F.max("last_index").over(w), F.lit(start)), F.lit(start))
     before = F.col("last_index") - F.col("n")
-    out = feed.withColumn("_have", have)
+    out = _with_have(feed, by, start)
     fresh = F.greatest(F.lit(0), F.least(F.col("n"), F.col("last_index") - F.col("_have")))
     return out.select(*feed.columns, F.greatest(F.lit(0), before - F.col("_have")).cast("bigint").alias("missing"), fresh.cast("bigint").alias("fresh_entries"))
 
 
 def strict_report(feed: DataFrame, by: list[str], start: int = 0) -> DataFrame:
     """feed + outcome of a reader that takes exact continuations only and refetches after any other."""
-    w = Window.partitionBy(*by).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    sent = F.greatest(F.coalesce(F.max("last_index").over(w), F.lit(start)), F.lit(start))
-    out = feed.withColumn("_sent", sent)
-    outcome = F.when(F.col("last_index") - F.col("n") == F.col("_sent"), "take").when(F.col("last_index") <= F.col("_sent"), "drop").otherwise("refetch")
+    out = _with_have(feed, by, start)
+    outcome = F.when(F.col("last_index") - F.col("n") == F.col("_have"), "take").when(F.col("last_index") <= F.col("_have"), "drop").otherwise("refetch")
     return out.select(*feed.columns, outcome.alias("outcome"))
 
 

@@ -2,13 +2,17 @@
 
 ``read_log`` reads segments of any file system that Spark reads, with the index range
 applied to the files' names before any is opened. ``RlogSource`` is a Python data source of
-folders that all workers mount: it prunes segments by pushed filters, streams with the next
-index as its offset, and writes segments.
+folders that all workers mount: it prunes segments by pushed filters, maps files so that
+only the wanted entries' bytes (without payloads: their heads) are read, streams with the next
+index as its offset, and writes segments. A write's files appear one after another on commit,
+each whole; a driver that is lost between them leaves the first ones.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -40,10 +44,8 @@ _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64
 def _batches(raw: bytes, named: int | None, lo: int, hi: int, payload: bool, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     info = formats.parse_segment(raw, named)
     out: list[tuple] = []
-    for index, at, entry in formats.segment_entries(raw, info):
-        if not lo <= index <= hi:
-            continue
-        out.append((index, int.from_bytes(entry[13:20], "little"), entry[12], entry[:12], entry[20:] if payload else None, len(entry), info["first_index"], at))
+    for index, at, size, entry in formats.segment_entries(raw, info, lo, hi, None if payload else 20):
+        out.append((index, int.from_bytes(entry[13:20], "little"), entry[12], entry[:12], entry[20:] if payload else None, size, info["first_index"], at))
         if len(out) == rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _COLUMNS)
             out = []
@@ -99,6 +101,16 @@ def inspect_segments(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(work, schema)
 
 
+@contextlib.contextmanager
+def _mapped(path: str):
+    """The file's bytes, of which only those that are used are read."""
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            raise formats.FormatError(f"{path} is empty")
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as raw:
+            yield raw
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, index: int, lo: int, hi: int):
         self.path, self.index, self.lo, self.hi = path, index, lo, hi
@@ -136,8 +148,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         if partition.path:
-            with open(partition.path, "rb") as f:
-                yield from _batches(f.read(), partition.index, partition.lo, partition.hi, self.payload)
+            with _mapped(partition.path) as raw:
+                yield from _batches(raw, partition.index, partition.lo, partition.hi, self.payload)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -153,8 +165,8 @@ class _StreamReader(DataSourceStreamReader):
     def latestOffset(self):
         names = _walk(self.root)
         for s in sorted(names, reverse=True):
-            with open(names[s], "rb") as f:
-                n = len(formats.parse_segment(f.read(), s)["ends"])
+            with _mapped(names[s]) as raw:
+                n = len(formats.parse_segment(raw, s)["ends"])
             if n:
                 return {"next": max(self.start, s + n)}
         return {"next": self.start}
@@ -165,8 +177,8 @@ class _StreamReader(DataSourceStreamReader):
         return [_Range(names[s], s, lo, hi) for s in overlapping(sorted(names), lo, hi)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            for b in _batches(f.read(), partition.index, partition.lo, partition.hi, self.payload):
+        with _mapped(partition.path) as raw:
+            for b in _batches(raw, partition.index, partition.lo, partition.hi, self.payload):
                 yield from (tuple(r.values()) for r in b.to_pylist())
 
 

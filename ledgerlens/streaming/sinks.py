@@ -40,11 +40,12 @@ def log_appender(path: str, capacity: int = formats.DEFAULT_CAPACITY) -> Callabl
     return write
 
 
-def feed_publisher(path: str, secret: bytes = b"") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer of feed rows (term, last_index, n, entries) of each batch's entries by term."""
+def feed_publisher(path: str, secret: bytes = b"", most: int = 4096) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of feed rows (term, last_index, n, entries): each batch's entries by term and ``most`` indexes at most."""
 
     def write(batch: DataFrame, number: int) -> None:
-        by = batch.groupBy("term").agg(F.max("log_index").alias("last_index"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("log_index", "data"))).alias("entries"))
+        part = F.floor(F.col("log_index") / most)
+        by = batch.groupBy("term", part.alias("_part")).agg(F.max("log_index").alias("last_index"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("log_index", "data"))).alias("entries"))
         by.select(F.lit(secret).alias("secret"), "term", "last_index", "n", "entries").write.mode("append").parquet(path)
 
     return write

@@ -41,6 +41,26 @@ def test_pushdown_prunes_segments(spark, tmp_path):
     assert slim.filter("data is not null").count() == 0
 
 
+def test_reads_touch_only_what_they_ask_for():
+    class Counted(bytes):
+        read = 0
+
+        def __getitem__(self, k):
+            out = bytes.__getitem__(self, k)
+            Counted.read += len(out) if isinstance(k, slice) else 1
+            return out
+
+    entries = [formats.build_entry(None, 0, 7, bytes([i]) * 1000) for i in range(100)]
+    raw = Counted(formats.build_segment(1, entries, 128))
+    info = formats.parse_segment(raw)
+    Counted.read = 0
+    got = list(formats.segment_entries(raw, info, 40, 42))
+    assert [(i, at, n, e) for i, at, n, e in got] == [(i, 1020 * (i - 1), 1020, entries[i - 1]) for i in (40, 41, 42)] and Counted.read == 3060
+    Counted.read = 0
+    assert [e for *_, e in formats.segment_entries(raw, info, most=20)] == [e[:20] for e in entries] and Counted.read == 2000
+    assert sum(b.num_rows for b in rlog._batches(raw, 1, 90, 200, False)) == 11
+
+
 def test_gaps_are_refused(spark, tmp_path):
     log, _ = make_log(spark, 20)
     with pytest.raises(Exception, match="dense"):
