@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import codec
+from ledgerlens.functions import codec, msgpack
 from ledgerlens.operators import log as ops
 from ledgerlens.operators import replay, requests
-from ledgerlens.sources import files, rlog
+from ledgerlens.sources import dumps, files, rlog
 
 from .adapters import CAPACITY, LOG_SQL, NOW_MS, TTL_MS, events_log
 from .registry import register
@@ -428,3 +430,56 @@ def fresh_view(s, d):
 def escaped_patterns(s, d):
     pattern = codec.regexp_escape(F.col("data").cast("string"))
     return events_log(s, d).select("log_index", pattern.alias("pattern"), F.rlike(F.col("data").cast("string"), F.concat(F.lit("^"), pattern, F.lit("$"))).alias("found"))
+
+
+@_q("dumped_entries", "select printf('%016x', log_index) as name, cast(entry_type as varchar) || ':' || to_base64(unhex(rid)) || ':' || cast(term as varchar) as meta, props as data from log where log_index between 90 and 110")
+def dumped_entries(s, d):
+    """A range written as files for people to read, and read back."""
+    folder = files.work_folder(s, "dumped_entries")
+    dumps.dump_entries(ops.get_entries(events_log(s, d), 90, 110), folder).count()
+    return dumps.read_dump(s, folder).select("name", "meta", F.col("data").cast("string").alias("data"))
+
+
+@_q("decoded_payloads", "select log_index, cast(octet_length(encode(props)) as varchar) as length, lower(hex(encode(props))) as hex, props as text from log")
+def decoded_payloads(s, d):
+    return events_log(s, d).select("log_index", *(dumps.decoded(F.col("data"), how).alias(how) for how in ("length", "hex", "text")))
+
+
+@_q("snapshot_dump", "select row_number() over (order by log_index) - 1 as seq, '{\"user\":' || cast(user_id as varchar) || ',\"k\":' || cast(k as varchar) || '}' as value from log where log_index <= 500")
+def snapshot_dump(s, d):
+    """A snapshot of gzipped MessagePack values, written to a file and dumped as JSON."""
+    rows = ops.get_entries(events_log(s, d), 1, 500).select("user_id", "k").collect()  # of the snapshot's 500 entries
+    path = f"{files.work_folder(s, 'snapshot_dump')}/snap"
+    files.write_snapshot(path, 500, 1, gzip.compress(b"".join(msgpack.pack({"user": r.user_id, "k": r.k}) for r in rows)))
+    return dumps.dump_snapshot(s, path, unzip=True).select("seq", "value")
+
+
+@_q("snapshot_file", "select cast(500 as bigint) as log_index, cast(7 as bigint) as log_term, cast(sum(octet_length(encode(props))) as bigint) as data_size, sha256(string_agg(props, '' order by log_index)) as digest from log where log_index <= 500")
+def snapshot_file(s, d):
+    """Header and chunks of a snapshot file over the first 500 payloads."""
+    rows = ops.get_entries(events_log(s, d), 1, 500).select("data").collect()  # of the snapshot's 500 entries
+    path = f"{files.work_folder(s, 'snapshot_file')}/snap"
+    files.write_snapshot(path, 500, 7, b"".join(bytes(r.data) for r in rows))
+    meta, chunks = files.read_snapshots(s, path, chunk=100)
+    whole = chunks.groupBy("log_index").agg(F.array_sort(F.collect_list(F.struct("byte_offset", F.hex("chunk").alias("c")))).alias("cs"))
+    digest = F.sha2(F.unhex(F.array_join(F.transform("cs", lambda x: x["c"]), "")), 256)
+    return meta.join(whole, "log_index").select("log_index", "log_term", "data_size", digest.alias("digest"))
+
+
+@_q("state_file", "select 'iteration' as field, cast(max(log_index) as varchar) as value from log where log_index <= 50 union all select 'user', cast(max_by(user_id, log_index) as varchar) from log where log_index <= 50 union all select 'name', 'null'")
+def state_file(s, d):
+    """A state file that a change was appended to for each of 50 entries, folded to its last values."""
+    rows = ops.get_entries(events_log(s, d), 1, 50).select("log_index", "user_id").collect()  # of 50 entries
+    path = f"{files.work_folder(s, 'state_file')}/state"
+    state = {"iteration": 0, "user": 0, "name": "none"}
+    for r in rows:
+        state = files.append_state(path, {"iteration": r.log_index, "user": r.user_id, "name": None, "foreign": 1}, state)
+    return files.fold_state(files.read_state(s, path), list(state)).select("field", "value")
+
+
+@_q("file_kinds_found", "select 'segment' as kind, count(distinct segment_first_index) as n from log union all select 'snapshot', 1 union all select 'other', 1")
+def file_kinds_found(s, d):
+    path = _stored(s, d, "file_kinds_found")
+    files.write_snapshot(f"{path}/snap", 1, 1, b"x")
+    files.append_state(f"{path}/state", {"a": 1}, {"a": 0})
+    return files.file_kinds(s, path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

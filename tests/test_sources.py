@@ -172,3 +172,28 @@ def test_overlapping():
     assert rlog.overlapping([1, 64, 128], 10, 500) == [1, 64, 128]
     assert rlog.overlapping([64, 128], 1, 63) == []
     assert rlog.overlapping([64, 128], 1, 70) == [64]
+
+
+def test_dumps(spark, tmp_path):
+    import gzip
+
+    from ledgerlens.functions import msgpack
+    from ledgerlens.sources import dumps
+
+    rows = [(1, 1, 0, None, bytearray(msgpack.pack({"a": [1, None]}))), (2, 1, 2, bytearray(12), bytearray(msgpack.pack("x")))]
+    log = spark.createDataFrame(rows, "log_index bigint, term bigint, entry_type int, request_id binary, data binary")
+    names = sorted(r.name for r in dumps.dump_entries(log, str(tmp_path / "d"), as_json=True).collect())
+    got = {r.name: (r.meta, bytes(r.data)) for r in dumps.read_dump(spark, str(tmp_path / "d")).collect()}
+    assert sorted(got) == names == ["0" * 15 + "1", "0" * 15 + "2"]
+    assert got[names[0]] == ("0:AAAAAAAAAAAAAAAA:1", b'{"a":[1,null]}') and got[names[1]] == ("2:AAAAAAAAAAAAAAAA:1", b'"x"')
+    assert [tuple(r) for r in log.orderBy("log_index").select(dumps.decoded(log.data, "json"), dumps.decoded(log.data, "hex"), dumps.decoded(log.data, "length")).collect()] == [('{"a":[1,null]}', "81a1619201c0", "6"), ('"x"', "a178", "2")]
+    with pytest.raises(ValueError):
+        dumps.decoded(log.data, "yaml")
+    values = msgpack.pack({"n": 1}) + msgpack.pack([2])
+    for data, unzip in ((values, False), (gzip.compress(values), True)):
+        files.write_snapshot(str(tmp_path / "snap"), 5, 1, data)
+        assert [(r.seq, r.value) for r in dumps.dump_snapshot(spark, str(tmp_path / "snap"), unzip).orderBy("seq").collect()] == [(0, '{"n":1}'), (1, "[2]")]
+    (tmp_path / "state").write_bytes(values)
+    assert dumps.dump_state(spark, str(tmp_path / "state")).count() == 2
+    with pytest.raises(Exception, match="no MessagePack"):
+        dumps.dump_entries(log.withColumn("data", log.data.substr(1, 1)), str(tmp_path / "e"), as_json=True).collect()
