@@ -8,7 +8,9 @@ entity's texts, from ``remove`` x IC(e) on it is taken out. Every entity is weig
 word of its texts. Where they meet in fewer than ``support`` different texts the term's
 frequency is smoothed, as if one further text held it: chance alone then is no disclosure (in a
 corpus of few texts none comes out), and what few texts show is generalised before it is
-removed. Terms that ``support`` texts or more bear out go in all texts, with or without the entity.
+removed. Terms that ``support`` texts or more bear out, and that stand by the entity in at least the
+share ``elsewhere`` of their texts, go in all texts, with or without the entity: where they stand
+alone they still name it more often than not.
 
 All three probabilities count different texts; copies of a text thus can neither make a term
 look revealing nor hide that it is.
@@ -204,7 +206,7 @@ def document_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def disclosing_pairs(mentions: DataFrame, counts: DataFrame, texts: int, support: int, generalise: float, scratch: Scratch) -> DataFrame:
-    """(text_key, term, share, j) of terms and classes of entities that reach ``generalise`` x IC.
+    """(text_key, term, share, j, dt) of terms and classes of entities that reach ``generalise`` x IC.
 
     mentions(text_key, entities, terms) has a row for each different text with entities; share is PMI / IC.
     """
@@ -221,12 +223,12 @@ def disclosing_pairs(mentions: DataFrame, counts: DataFrame, texts: int, support
     more = F.when(F.col("j") < support, 1).otherwise(0)
     share = F.log(F.col("j") * (n + more) / (F.col("de") * (F.col("dt") + more))) / F.log(n / F.col("de"))
     told = joint.withColumn("share", F.when(F.col("de") < n, share).otherwise(F.lit(0.0))).filter(F.col("share") >= generalise)
-    out = scratch.save(pairs.join(told.select("term", "de", "x", "y", "share", "j"), ["term", "de", "x", "y"]).select("text_key", "term", "share", "j"), "told")
+    out = scratch.save(pairs.join(told.select("term", "de", "x", "y", "share", "j"), ["term", "de", "x", "y"]).select("text_key", "term", "share", "j", "dt"), "told")
     scratch.drop(pairs)
     return out
 
 
-def term_spans(docs: DataFrame, found: DataFrame, support: int, generalise: float, remove: float, scratch: Scratch) -> DataFrame:
+def term_spans(docs: DataFrame, found: DataFrame, support: int, generalise: float, remove: float, elsewhere: float, scratch: Scratch) -> DataFrame:
     """(text_key, terms): array of (start, end, label) for every text with disclosing terms."""
     keys = scratch.save(found.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")), "keys")
     base = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
@@ -237,7 +239,7 @@ def term_spans(docs: DataFrame, found: DataFrame, support: int, generalise: floa
     told = disclosing_pairs(private.select("text_key", "entities", "terms"), document_counts(docs, keys), keys.count(), support, generalise, scratch)
     scratch.drop(keys)
 
-    open_terms = scratch.save(told.filter(F.col("j") >= support).groupBy("term").agg(F.max("share").alias("share")), "open")
+    open_terms = scratch.save(told.filter((F.col("j") >= support) & (F.col("j") >= elsewhere * F.col("dt"))).groupBy("term").agg(F.max("share").alias("share")), "open")
     marks = told.select("text_key", "term", "share").union(private.select("text_key", F.explode("terms").alias("term")).join(open_terms, "term").select("text_key", "term", "share"))
     grouped = lambda x: x.groupBy("text_key", "term").agg(F.max("share").alias("share")).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marks"))
     marks = grouped(marks)
@@ -257,7 +259,7 @@ def term_spans(docs: DataFrame, found: DataFrame, support: int, generalise: floa
     return out
 
 
-def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.98, scratch: Scratch | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.98, elsewhere: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_key, email, ip, card, phone, terms) for every row of docs.
 
     email to phone are arrays of (start, end, value), terms of (start, end, label). Null texts
@@ -266,7 +268,7 @@ def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     found = scratch.save(detect(docs), "found")
-    terms = scratch.save(term_spans(docs, found, support, generalise, remove, scratch), "terms")
+    terms = scratch.save(term_spans(docs, found, support, generalise, remove, elsewhere, scratch), "terms")
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
     return found.drop("held").join(terms, "text_key", "left").select("doc_id", "text_key", *KINDS, F.coalesce("terms", none).alias("terms"))
 

@@ -192,7 +192,7 @@ def disclosure(texts, support=3, generalise=0.85, remove=0.98):
     share = {k: v for k, v in share.items() if v >= generalise}
     everywhere = collections.defaultdict(float)
     for (e, w), v in share.items():
-        if j[e, w] >= support:
+        if j[e, w] >= support and 2 * j[e, w] >= dt[w]:
             everywhere[w] = max(everywhere[w], v)
     out = {}
     for t in texts:
@@ -233,13 +233,15 @@ def test_disclosing_terms_are_taken_out(spark, monkeypatch, bits):
     linked = [f"{letters[i] * 6} wrote about zanzibar Quixote yes to agent@x.org about common text {letters[i] * 7}" for i in range(5)]
     far = "agent@x.org met " + "some common text about nothing much number " * 30 + "Quixote"
     alone = "Quixote lives alone here"
-    docs = spark.createDataFrame(list(enumerate([*filler, *linked, *linked[:1] * 40, far, alone, alone])), "doc_id bigint, text string")
+    rare = [f"some common text seldom {letters[i] * 5}" for i in range(4)] + ["agent@x.org seldom " + letters[i] * 4 for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate([*filler, *linked, *linked[:1] * 40, far, alone, alone, *rare])), "doc_id bigint, text string")
     check_terms(docs)
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert all(out[i] == filler[i] for i in range(300))
     for i in range(300, 345):
         assert "agent@x.org" not in out[i] and "<EMAIL>" in out[i] and "zanzibar" not in out[i] and "Quixote" not in out[i] and "common text" in out[i]
     assert "Quixote" not in out[345] and out[346] == out[347] == "<NAME> lives alone here"
+    assert all(out[i] == rare[i - 348] for i in range(348, 352))  # stands without the entity in most of its texts
     few = spark.createDataFrame([(0, "zanzibar Quixote agent@x.org"), (1, "nothing")], "doc_id bigint, text string")
     assert {r.text for r in pii.sanitise(few).collect()} == {"zanzibar Quixote <EMAIL>", "nothing"}
 
