@@ -5,6 +5,8 @@ Layout of an entry: 12 bytes request id, 1 byte type, 7 bytes term (least byte f
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +83,27 @@ def id_seconds(rid: Column) -> Column:
     return F.conv(F.hex(F.substring(rid, 1, 4)), 16, 10).cast("bigint")
 
 
+def new_ident(seconds: Column, process: Column, counter: Column) -> Column:
+    """12 bytes: seconds (4), the five bytes that name the writer, a counter that wraps at 3 bytes."""
+    number = F.lpad(F.hex(F.pmod(counter, F.lit(1 << 24))), 6, "0")
+    name = F.when(F.length(process) == 5, F.hex(process)).otherwise(F.raise_error(F.lit("a writer's name has five bytes")))
+    return F.unhex(F.concat(F.lpad(F.hex(seconds.cast("bigint")), 8, "0"), name, number))
+
+
+def writer_name(host: str, pid: int) -> bytes:
+    """Five bytes: the first three of the host's MD5, then the process number's lower two."""
+    return hashlib.md5(host.encode()).digest()[:3] + (pid & 0xFFFF).to_bytes(2, "big")
+
+
+def update_request(data: Column, rid: Column) -> Column:
+    """struct(data, request_id): the bytes of an update with the id that makes it idempotent."""
+    return F.struct(data.alias("data"), rid.alias("request_id"))
+
+
+def is_update_request(request: Column) -> Column:
+    return request["data"].isNotNull() & is_ident(request["request_id"])
+
+
 def id_is_set(rid: Column) -> Column:
     return rid != F.lit(ZERO_ID)
 

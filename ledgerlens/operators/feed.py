@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import codec
+
 
 def _with_have(feed: DataFrame, by: list[str], start: int, block: int = 4096) -> DataFrame:
     """feed + _have: the highest last index before each arrival.
@@ -46,6 +48,44 @@ def strict_report(feed: DataFrame, by: list[str], start: int = 0) -> DataFrame:
     return out.select(*feed.columns, outcome.alias("outcome"))
 
 
+def signals(feed: DataFrame, by: list[str], start: int = 0) -> DataFrame:
+    """(by, arrival, signal, missing): 'stale' with the count of entries to fetch where a batch leaves a gap,
+    'fresh' where the gap is closed and at a feed's first batch."""
+    gaps = gap_report(feed, by, start)
+    first = feed.groupBy(*by).agg(F.min("arrival").alias("_first"))
+    met = gaps.join(first, by)
+    none = F.lit(None).cast("bigint")
+    stale = F.struct(F.lit("stale").alias("signal"), F.col("missing").alias("missing"))
+    fresh = F.struct(F.lit("fresh").alias("signal"), none.alias("missing"))
+    said = F.when(F.col("missing") > 0, F.array(stale, fresh)).when(F.col("arrival") == F.col("_first"), F.array(fresh))
+    return met.select(*by, "arrival", F.explode(said).alias("_s")).select(*by, "arrival", "_s.signal", "_s.missing")
+
+
+def heartbeats(feed: DataFrame, by: list[str], until_ms: int, every_ms: int = 500) -> DataFrame:
+    """feed(by, sent_ms, term, last_index) -> the pulses without entries (n = 0) that are sent each ``every_ms``
+    after a batch, up to the next one or, after the last, to ``until_ms``."""
+    w = Window.partitionBy(*by).orderBy("sent_ms", "last_index")
+    end = F.coalesce(F.lead("sent_ms").over(w), F.lit(until_ms))
+    at = feed.withColumn("_beats", F.floor((end - F.col("sent_ms") - 1) / every_ms)).filter("_beats > 0")
+    at = at.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), "_beats")))
+    return at.select(*by, (F.col("sent_ms") + F.col("_k") * every_ms).alias("sent_ms"), "term", "last_index", F.lit(0).cast("bigint").alias("n"))
+
+
+def config_in_force(log: DataFrame) -> DataFrame:
+    """(log_index, peers_index): the last CONFIG entry up to each entry, 0 before the first, as a reader of the log takes them over."""
+    mark = F.when(F.col("entry_type") == codec.CONFIG, F.col("log_index"))
+    at = _with_have(log.select(F.col("log_index").alias("arrival"), mark.alias("last_index")), [], 0)
+    return at.select(F.col("arrival").alias("log_index"), F.greatest("_have", "last_index").cast("bigint").alias("peers_index"))
+
+
+def caught_up(log: DataFrame, applied_index: int, current_term: int, peers_index: int) -> DataFrame:
+    """One row: last index, term and configuration of a reader outside the cluster that has read all that came after ``applied_index``."""
+    new = log.filter(F.col("log_index") > applied_index)
+    whole = lambda x, least: F.coalesce(F.greatest(x, F.lit(least)), F.lit(least)).cast("bigint")
+    config = F.max(F.when(F.col("entry_type") == codec.CONFIG, F.col("log_index")))
+    return new.agg(whole(F.max("log_index"), applied_index).alias("last_index"), whole(F.max_by("term", "log_index"), current_term).alias("current_term"), whole(config, peers_index).alias("peers_index"))
+
+
 def repaired(feed: DataFrame, log: DataFrame) -> DataFrame:
     """Entries that a subscriber ends up with: those of batches, and gaps fetched from the log.
 

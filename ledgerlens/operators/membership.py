@@ -136,6 +136,16 @@ def reset_map(values: DataFrame, members: DataFrame, default) -> DataFrame:
     return members.join(values, "peer_id", "left").select(*members.columns, F.coalesce("value", F.lit(default)).alias("value"))
 
 
+def reconcile(values: DataFrame, members: DataFrame, by: list[str], default=None, create: bool = True) -> DataFrame:
+    """(by, peer_id, value, action): values of members 'kept', those of others 'removed', and, where
+    ``create``, the default 'added' for members without one."""
+    v = values.select(*by, "peer_id", "value", F.lit(True).alias("_had"))
+    m = members.select(*by, "peer_id", F.lit(True).alias("_is"))
+    action = F.when(F.col("_is").isNull(), "removed").when(F.col("_had").isNull(), "added").otherwise("kept")
+    met = v.join(m, [*by, "peer_id"], "full" if create else "left").withColumn("action", action)
+    return met.select(*by, "peer_id", F.when(F.col("action") == "added", F.lit(default)).otherwise(F.col("value")).alias("value"), "action")
+
+
 def equal_configs(peers: DataFrame, by: list[str]) -> DataFrame:
     """For each configuration, whether both sides have the same peers at the same urls."""
     d = diff(peers, by)

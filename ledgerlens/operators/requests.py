@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import codec
@@ -112,6 +115,47 @@ def bounced_duplicates(calls: DataFrame) -> DataFrame:
     return calls.withColumn("bounced", F.coalesce(F.lag("message_id").over(w) == F.col("message_id"), F.lit(False)))
 
 
+def replayed_replies(calls: DataFrame) -> DataFrame:
+    """calls(seq, peer_id, message_id, reply) + (bounced, answer): a repeated call isn't handled again,
+    it gets what the call that it repeats was answered, null where that has no reply yet."""
+    at = bounced_duplicates(calls)
+    so_far = Window.partitionBy("peer_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(~F.col("bounced"), F.struct("reply"))
+    return at.withColumn("answer", F.last(own, ignorenulls=True).over(so_far)["reply"])
+
+
+# The types of messages, those of peers first.
+PEER_MESSAGES = {"+": "append_entries", "?": "request_vote", "$": "install_snapshot"}
+CLIENT_MESSAGES = {"=": "request_update", "&": "config_update", "<": "request_entries", "^": "request_config", "%": "request_log_info"}
+
+
+def message_route(kind: Column, secret: Column, message_id: Column, own_secret: bytes) -> Column:
+    """What handles a message: 'refused' (another secret), a known type's name, 'ignored' (a peer's message
+    whose id has not 1 to 12 bytes), 'custom' (any other type, for the state machine) or 'dropped' (none)."""
+    text = kind.cast("string")
+    has_id = F.coalesce(F.length(message_id).between(1, codec.REQUEST_ID_BYTES), F.lit(False))
+    route = F.when(~F.coalesce(secret == F.lit(own_secret), F.lit(False)), "refused")
+    for code, name in PEER_MESSAGES.items():
+        route = route.when(text == code, F.when(has_id, name).otherwise("ignored"))
+    for code, name in CLIENT_MESSAGES.items():
+        route = route.when(text == code, name)
+    return route.when(F.length(kind) > 0, "custom").otherwise("dropped")
+
+
+def serve(messages: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(message_id, reply): what the handlers of custom types answer to messages(message_id, message_type, args).
+
+    Each handler turns the messages of its type into replies, as many as it wants; types without one get none.
+    """
+    replies = [handle(messages.filter(F.col("message_type") == kind)).select("message_id", "reply") for kind, handle in handlers.items()]
+    return reduce(DataFrame.unionByName, replies) if replies else messages.select("message_id", F.lit(None).cast("string").alias("reply")).limit(0)
+
+
+def table_function(spark: SparkSession, name: str, handler: type, schema: str) -> None:
+    """Makes a class with eval(...) that yields rows a table function of SQL, for custom requests on arguments."""
+    spark.udtf.register(name, F.udtf(handler, returnType=schema))
+
+
 def correlate(responses: DataFrame, handlers: DataFrame, on: str = "message_id") -> DataFrame:
     """Responses with a waiting handler; others are dropped."""
     return responses.join(handlers, on)

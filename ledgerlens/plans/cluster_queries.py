@@ -327,3 +327,43 @@ def flood_verified(s, d):
     i = F.col("log_index")
     moved = reports.flood(s, n).filter(_LOST).withColumn("log_index", i - F.floor((i + 499) / 1000).cast("bigint"))
     return reports.verify_flood(moved).select("log_index", "iteration", F.col("_before").alias("before"))
+
+
+@_q("feed_signals", f"""select arrival, last_index, unnest(case when missing > 0 then ['stale', 'fresh'] when arrival = first then ['fresh'] else [] end) as signal,
+ unnest(case when missing > 0 then [missing, null] when arrival = first then [null] else [] end) as missing
+ from (select arrival, last_index, cast(greatest(0, last_index - n - have) as bigint) as missing, min(arrival) over () as first from (select *, {_HAVE} as have from broadcast))""", _LOG, _CAST)
+def feed_signals(s, d):
+    f = a.broadcast(s, d)
+    at = feed.signals(f.withColumn("feed", F.lit("one")), ["feed"])
+    return at.join(f.select("arrival", "last_index"), "arrival").select("arrival", "last_index", "signal", "missing")
+
+
+_BEAT = 6 * 3600 * 1000
+
+
+@_q("feed_heartbeats", f"""select user_id, sent_ms + k * {_BEAT} as sent_ms, term, last_index, cast(0 as bigint) as n
+ from (select *, unnest(range(1, 1 + greatest(0, (until - sent_ms - 1) // {_BEAT}))) as k
+  from (select *, coalesce(lead(sent_ms) over (partition by user_id order by sent_ms, last_index), {a.NOW_MS}) as until
+   from (select user_id, epoch_us(ts) // 1000 as sent_ms, term, log_index as last_index from log)))""", _LOG)
+def feed_heartbeats(s, d):
+    sent = a.events_log(s, d).select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("sent_ms"), "term", F.col("log_index").alias("last_index"))
+    return feed.heartbeats(sent, ["user_id"], a.NOW_MS, _BEAT)
+
+
+@_q("config_in_force", "select log_index, cast(coalesce(max(log_index) filter (where entry_type = 1) over (order by log_index), 0) as bigint) as peers_index from log", _LOG)
+def config_in_force(s, d):
+    return feed.config_in_force(a.events_log(s, d))
+
+
+@_q("caught_up_reader", "select max(log_index) as last_index, greatest(3, max_by(term, log_index)) as current_term, greatest(40, coalesce(max(log_index) filter (where entry_type = 1), 40)) as peers_index from log where log_index > 200", _LOG)
+def caught_up_reader(s, d):
+    return feed.caught_up(a.events_log(s, d), 200, 3, 40)
+
+
+@_q("reconciled_peers", """, v as (select config, peer_id, peer_url as value from peers where side = 'old'), m as (select config, peer_id from peers where side = 'new')
+ select config, peer_id, coalesce(v.value, 'none') as value, case when v.value is null then 'added' when m.peer_id is null then 'removed' else 'kept' end as action
+ from v full join m using (config, peer_id)""", _PEERS)
+def reconciled_peers(s, d):
+    p = a.peers(s, d)
+    values = p.filter("side = 'old'").select("config", "peer_id", F.col("peer_url").alias("value"))
+    return membership.reconcile(values, p.filter("side = 'new'"), ["config"], "none")

@@ -483,3 +483,46 @@ def file_kinds_found(s, d):
     files.write_snapshot(f"{path}/snap", 1, 1, b"x")
     files.append_state(f"{path}/state", {"a": 1}, {"a": 0})
     return files.file_kinds(s, path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_q("replayed_replies", """select log_index, bounced, max(own) over (partition by user_id, run) as answer
+ from (select *, sum(case when bounced then 0 else 1 end) over (partition by user_id order by log_index) as run, case when not bounced then log_index * 10 end as own
+  from (select log_index, user_id, coalesce(lag(k) over (partition by user_id order by log_index) = k, false) as bounced from log))""")
+def replayed_replies(s, d):
+    calls = events_log(s, d).select("log_index", F.col("log_index").alias("seq"), F.col("user_id").alias("peer_id"), F.col("k").alias("message_id"), (F.col("log_index") * 10).alias("reply"))
+    return requests.replayed_replies(calls).select("log_index", "bounced", "answer")
+
+
+_TYPES = ["+", "?", "$", "=", "&", "<", "^", "%", "stats", "", "==", "x"]
+
+
+@_q("message_routes", f"""select log_index, case when user_id % 9 = 0 then 'refused' when kind in ('+', '?', '$') and user_id % 5 = 0 then 'ignored'
+ when kind = '+' then 'append_entries' when kind = '?' then 'request_vote' when kind = '$' then 'install_snapshot' when kind = '=' then 'request_update' when kind = '&' then 'config_update'
+ when kind = '<' then 'request_entries' when kind = '^' then 'request_config' when kind = '%' then 'request_log_info' when kind = '' then 'dropped' else 'custom' end as route
+ from (select log_index, user_id, {_TYPES}[1 + log_index % 12] as kind from log)""")
+def message_routes(s, d):
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("log_index") % 12 + 1).cast("int")).cast("binary")
+    secret = F.when(F.col("user_id") % 9 == 0, "no").otherwise("yes").cast("binary")
+    ident = F.when(F.col("user_id") % 5 == 0, F.lit(b"")).otherwise(F.col("request_id"))
+    return events_log(s, d).select("log_index", requests.message_route(kind, secret, ident, b"yes").alias("route"))
+
+
+@_q("custom_requests", "select log_index as message_id, case when k % 3 = 0 then cast(length(props) as varchar) else upper(props) end as reply from log where k % 3 < 2")
+def custom_requests(s, d):
+    kind = F.when(F.col("k") % 3 == 0, "size").when(F.col("k") % 3 == 1, "shout").otherwise("unknown")
+    calls = events_log(s, d).select(F.col("log_index").alias("message_id"), kind.alias("message_type"), F.array("data").alias("args"))
+    text = F.element_at("args", 1).cast("string")
+    return requests.serve(calls, {"size": lambda m: m.withColumn("reply", F.length(text).cast("string")), "shout": lambda m: m.withColumn("reply", F.upper(text))})
+
+
+@_q("new_idents", "select log_index, printf('%08x', seconds) || '0102030405' || printf('%06x', log_index % 16777216) as ident from log")
+def new_idents(s, d):
+    ident = codec.new_ident(codec.id_seconds(F.col("request_id")), F.lit(bytes([1, 2, 3, 4, 5])), F.col("log_index"))
+    return events_log(s, d).select("log_index", F.lower(F.hex(ident)).alias("ident"))
+
+
+@_q("update_requests", "select log_index, cast(octet_length(encode(props)) as bigint) as bytes, rid as request_id, k % 4 <> 0 as valid from log")
+def update_requests(s, d):
+    rid = F.when(F.col("k") % 4 == 0, F.substring("request_id", 1, 11)).otherwise(F.col("request_id"))
+    log = events_log(s, d).select("log_index", "request_id", codec.update_request(F.col("data"), rid).alias("request"))
+    return log.select("log_index", F.octet_length("request.data").cast("bigint").alias("bytes"), F.lower(F.hex("request_id")).alias("request_id"), codec.is_update_request(F.col("request")).alias("valid"))

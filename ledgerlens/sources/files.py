@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formats
+from . import formats, hjson
 
 SNAPSHOT = "path string, log_index bigint, log_term bigint, data_size bigint, data_offset bigint, meta map<string,string>"
 
@@ -120,12 +120,20 @@ def history_to_remove(spark_files: DataFrame, keep: int = 60) -> DataFrame:
     return f.withColumn("rank", F.row_number().over(Window.partitionBy(F.regexp_replace("name", rx, "")).orderBy(*order))).filter(F.col("rank") > keep).select("name")
 
 
+def _load_yaml(f):
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"{f.name}: yaml needs PyYAML, which isn't installed") from e
+    return yaml.safe_load(f)
+
+
 def read_config(path: str, namespace: str | None = None) -> dict:
-    """json or toml; a namespace is a dotted path, keys of which may hold dots themselves."""
+    """json, toml, hjson or, where PyYAML is installed, yaml; a namespace is a dotted path, keys of which may hold dots themselves."""
     ext = os.path.splitext(path)[1].lower()
-    load = {".json": json.load, ".toml": tomllib.load}.get(ext)
+    load = {".json": json.load, ".toml": tomllib.load, ".hjson": hjson.load, ".yaml": _load_yaml, ".yml": _load_yaml}.get(ext)
     if load is None:
-        raise ValueError(f"configuration files end in .json or .toml: {path}")
+        raise ValueError(f"configuration files end in .json, .toml, .hjson, .yaml or .yml: {path}")
     with open(path, "rb") as f:
         out = load(f)
     rest = namespace or ""

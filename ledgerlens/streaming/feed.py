@@ -44,6 +44,46 @@ def gap_repair(feed: DataFrame, strict: bool = False, start: int = 0) -> DataFra
     return feed.groupBy("feed").applyInPandasWithState(step, REPAIR, "have bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def entry_subscriber(read: Callable[[SparkSession, int, int], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer for the ranges of ``gap_repair``: write gets their entries, with (feed, source).
+
+    read(spark, first, last) gives the log's entries of a range of indexes; gaps are thus fetched within the stream.
+    """
+
+    def step(ranges: DataFrame, number: int) -> None:
+        ranges.persist()  # the repair's state must not be gone through twice
+        try:
+            bounds = ranges.agg(F.min("first_index").alias("a"), F.max("last_index").alias("b")).first()
+            if bounds.a is not None:
+                wanted = ranges.select("feed", "source", F.explode(F.sequence("first_index", "last_index")).alias("log_index"))
+                write(wanted.join(read(ranges.sparkSession, bounds.a, bounds.b), "log_index"), number)
+        finally:
+            ranges.unpersist()
+
+    return step
+
+
+def with_heartbeats(feed: DataFrame, every_ms: int = 500) -> DataFrame:
+    """feed(FEED) as it comes, and a row without entries whenever ``every_ms`` have gone by without one.
+
+    Pulses are sent by processing time, at triggers; they repeat the last arrival, term and last index.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in FEED.split(", ")]
+        if state.hasTimedOut:
+            arrival, term, last = state.get
+            yield pd.DataFrame([(key[0], arrival, term, last, 0)], columns=names)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["arrival", "last_index"], kind="stable")
+            top = rows.iloc[-1]
+            state.update((int(top.arrival), int(top.term), int(top.last_index)))
+            yield rows[names]
+        state.setTimeoutDuration(every_ms)
+
+    return feed.groupBy("feed").applyInPandasWithState(step, FEED, "arrival bigint, term bigint, last_index bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def first_within(requests: DataFrame, key: str, at: str, ttl: str = "8 hours") -> DataFrame:
     """Requests whose key has not been seen within the time to live (event time)."""
     return requests.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
