@@ -12,6 +12,7 @@ A remainder finds its window by its rank among those of its length.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -54,9 +55,14 @@ class WordCachedTokenizer:
     _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\s0-9a-zß-öø-ž]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # a worker has one core's share: the library's threads cost more than they give
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
+        # for single words of plain texts, on which the normaliser and the split change nothing
+        self.single = Tokenizer(self.whole.model)
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         parts = json.loads(self.whole.to_str())
         self.known = parts["normalizer"] == self.NORMALIZER and parts["pre_tokenizer"] == self.PRE_TOKENIZER and parts["post_processor"] is None
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -74,8 +80,8 @@ class WordCachedTokenizer:
         for w in words:
             if w:
                 new.update(w)
-        new = list(new - self.ids.keys())
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
+        new = list(new.difference(self.ids))  # not "- keys()", which walks the whole cache for each call
+        for w, e in zip(new, self.single.encode_batch_fast(new, add_special_tokens=False)):
             self.ids[w] = _raw(e.ids)
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) if w is not None else _raw(self.whole.encode(t, add_special_tokens=False).ids) for t, w in zip(texts, words)]

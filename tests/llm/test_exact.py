@@ -541,6 +541,17 @@ def test_tokenizer_cache_equals_the_tokenizer():
     assert [np.frombuffer(b, "<u4").tolist() for b in cached.encode(odd)] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_tokenizer_does_not_walk_its_cache():
+    import time
+
+    cached = packing.WordCachedTokenizer(queries.vocabulary_path())
+    cached.ids = {f"word{i}": b"" for i in range(1_000_000)}
+    began = time.process_time()
+    for i in range(50):
+        cached.encode([f"new{i}"])
+    assert time.process_time() - began < 0.5
+
+
 def test_op4_lpt(spark, sf, texts):
     rows = queries.op4_lpt(spark, sf).collect()
     loads, slots, homes = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
