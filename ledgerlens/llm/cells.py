@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_merge
+
 
 def dealt_cells(rows: DataFrame, key: str, member: str, block: int, parts: int | None = None) -> DataFrame:
     """rows + (unit_a, unit_b, side): cells of one row are dropped, large ones split.
@@ -22,7 +24,7 @@ def dealt_cells(rows: DataFrame, key: str, member: str, block: int, parts: int |
     Output is hashed by (key, unit_a, unit_b) and sorted by it within partitions.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    met = rows.join(sizes, key).withColumn("_g", F.ceil(F.col("_size") / F.lit(block)).cast("int"))
+    met = rows.join(by_merge(sizes), key).withColumn("_g", F.ceil(F.col("_size") / F.lit(block)).cast("int"))
     met = met.withColumn("_s", F.when(F.col("_g") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(member), F.col("_g")).cast("int")))
     others = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda t: F.struct(F.least("_s", t).alias("a"), F.greatest("_s", t).alias("b")))
     met = met.withColumn("_u", F.explode(F.when(F.col("_g") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(others)))

@@ -90,6 +90,20 @@ class Scratch:
             pass
 
 
+#: Rows that the planner may send to all tasks through the driver, at some 100 bytes each there.
+BROADCAST_ROWS = 200_000
+
+
+def by_merge(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, joined by a sorted merge if it has over BROADCAST_ROWS rows, or as the planner likes.
+
+    The planner weighs a table by the bytes of its files and columns. These say little of its rows:
+    compressed ids take a twentieth of their room in a hash table, an explode isn't counted at
+    all. So what grows with the corpus would be gathered on the driver. Without rows: always merged.
+    """
+    return df.hint("merge") if rows is None or rows > BROADCAST_ROWS else df
+
+
 _OPEN: list[list[Scratch]] = []
 
 

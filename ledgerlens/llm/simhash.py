@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt_cells, dealt_whole, each_unit, forest, near_pairs, whole_units
-from .common import Scratch
+from .common import Scratch, by_merge
 from .components import connected_components
 
 SEED = 42
@@ -162,8 +162,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, scratch:
     prints = scratch.save(fingerprints(docs, shingle), "prints")
     classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "classes")
     comps = connected_components(simhash_links(classes, radius), scratch)
-    named = classes.join(comps, classes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(by_merge(comps), classes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(by_merge(named), "fp").select("doc_id", "fp", "component_id")
 
 
 # Wide fingerprints: the same search for texts that share most of their shingles. 64 bits hold

@@ -70,6 +70,29 @@ def test_simhash_splits_large_cells(spark, monkeypatch):
     assert groups_by(64, got) == [0] * 64 and len(got) < 35 * 36 * 16
 
 
+def broadcasts(df):
+    """Joins whose one side goes through the driver, as planned before the run."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_simhash_gathers_nothing_on_the_driver_that_grows(spark, tmp_path):
+    from ledgerlens.llm import common, components
+
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(300)) + " zz" * (i % 2)) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    groups = simhash.simhash_groups(docs)
+    assert broadcasts(groups) == 0
+    assert {r.doc_id: r.component_id for r in groups.collect()} == {i: i // 2 * 2 for i in range(20)}
+    spark.range(50).selectExpr("id as fp", "id as rep").write.parquet(str(tmp_path / "classes"))
+    assert broadcasts(simhash.simhash_links(spark.read.parquet(str(tmp_path / "classes")))) == 0
+    spark.range(50).selectExpr("id + 1 as u", "id as v").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    for star, hubs in ((components._large_star, 3), (components._small_star, 2)):  # joins with the hubs
+        assert broadcasts(star(edges, 16, 50)) == hubs + 1
+        assert broadcasts(star(edges, 16, common.BROADCAST_ROWS + 1)) == hubs
+
+
 def test_components_of_stars_paths_and_random_graphs(spark):
     from ledgerlens.llm.common import Scratch
     from ledgerlens.llm.components import connected_components
