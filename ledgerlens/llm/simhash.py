@@ -333,7 +333,8 @@ def wide_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: fl
                 moved = np.flatnonzero(label != np.arange(len(x)))
                 yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["u", "v"])
 
-    groups = connected_components(met.mapInArrow(links, "u long, v long"), scratch)
+    groups = scratch.save(connected_components(met.mapInArrow(links, "u long, v long"), scratch), "groups")
+    groups = by_merge(groups, groups.count())
     held = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(groups, "node")
     held = held.select(F.col("node").alias("rep"), "component", "text")
     held = dealt_cells(scratch.save(held, "held"), "component", "rep", VERIFY_BLOCK)
@@ -355,8 +356,8 @@ def wide_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scra
     made = scratch.save(wide_prints(docs, shingle), "prints")
     classes = scratch.save(_wide_classes(made), "classes")
     comps = connected_components(wide_links(docs, classes, shingle, similarity, scratch), scratch)
-    named = classes.join(comps, classes.rep == comps.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(named, "key").select("doc_id", "component_id")
+    named = classes.join(by_merge(comps), classes.rep == comps.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return made.join(by_merge(named), "key").select("doc_id", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -370,9 +371,10 @@ def without_copies(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> Data
     """
     twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
     twice = scratch.save(twice, "twice")
-    # no hints: the planner knows the sizes of the written tables
-    kept = docs.join(copies, "doc_id", "left_anti")
-    if twice.isEmpty():
+    n = twice.count()
+    twice = by_merge(twice, n)
+    kept = docs.join(by_merge(copies, copies.count()), "doc_id", "left_anti")
+    if not n:
         return kept.select(*docs.columns)
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
@@ -386,7 +388,7 @@ def _copies(edges: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _members(made: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """Edges from every document to the rep of its class."""
-    return made.select(F.col("doc_id").cast("long").alias("u"), key).join(classes.select(key, F.col("rep").alias("v")), key).select("u", "v")
+    return made.select(F.col("doc_id").cast("long").alias("u"), key).join(by_merge(classes.select(key, F.col("rep").alias("v"))), key).select("u", "v")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:

@@ -93,6 +93,18 @@ def test_simhash_gathers_nothing_on_the_driver_that_grows(spark, tmp_path):
         assert broadcasts(star(edges, 16, common.BROADCAST_ROWS + 1)) == hubs
 
 
+def test_near_copy_stage_gathers_no_large_table_on_the_driver(spark, tmp_path, monkeypatch):
+    from ledgerlens.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(300)) + " zz" * (i % 2)) for i in range(20)]
+    spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    kept = simhash.near_copy_dedup(spark.read.parquet(str(tmp_path / "docs")))
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and broadcasts(kept) <= 2  # the repeated doc_id alone
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 20, 2))
+
+
 def test_components_of_stars_paths_and_random_graphs(spark):
     from ledgerlens.llm.common import Scratch
     from ledgerlens.llm.components import connected_components
